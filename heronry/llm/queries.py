@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import orc_tokens, packing
+from heronry.llm import bpe, langid, media_gif, orc_tokens, packing, repetition
 from heronry.llm.runtime import documents
 
 
@@ -15,12 +15,33 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_gif.store_and_read(documents(spark, sf_dir))
+
+
+def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.rules(documents(spark, sf_dir))
+
+
+def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op9_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.store_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_gif_media": op2_gif_media,
+    "op3_repetition_rules": op3_repetition_rules,
+    "op4_chunked_bpe": op4_chunked_bpe,
+    "op5_language_id": op5_language_id,
     "op9_orc_token_ids": op9_orc_token_ids,
 }
 
