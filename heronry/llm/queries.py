@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import bpe, langid, media_gif, orc_tokens, packing, repetition
+from heronry.llm import bpe, langid, media_gif, orc_tokens, packing, repetition, simhash, suffix_dedup
 from heronry.llm.runtime import documents
 
 
@@ -32,6 +32,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.clusters(documents(spark, sf_dir), shingle=4, radius=4)
+
+
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf_dir))
+
+
 def op9_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.store_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_rules": op3_repetition_rules,
     "op4_chunked_bpe": op4_chunked_bpe,
     "op5_language_id": op5_language_id,
+    "op6_simhash": op6_simhash,
+    "op7_suffix_array": op7_suffix_array,
     "op9_orc_token_ids": op9_orc_token_ids,
 }
 
