@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import bpe, langid, media_gif, orc_tokens, packing, repetition, simhash, suffix_dedup
+from heronry.llm import bpe, langid, licenses, media_gif, orc_tokens, packing, repetition, simhash, suffix_dedup, toxicity
 from heronry.llm.runtime import documents
 
 
@@ -40,10 +40,20 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return licenses.scan(docs, licenses.train(licenses.sample_lines(docs)))
+
+
 def op9_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.store_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.classify(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_gif_media": op2_gif_media,
@@ -52,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op7_suffix_array": op7_suffix_array,
+    "op8_license_scan": op8_license_scan,
     "op9_orc_token_ids": op9_orc_token_ids,
+    "op10_toxicity_chain": op10_toxicity_chain,
 }
 
 ORACLE_SQL: dict[str, str] = {}
