@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heronry.llm.runtime import id_text, materialize
 
@@ -197,7 +198,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
             yield batch.append_column("__fp", pa.array(found))
 
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    schema = rows.schema.add("__fp", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("__fp", T.LongType())])
     stored = materialize(rows.mapInArrow(run, schema), "simhash-rows")
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"))
     marked = stored.select(F.col("__fp").alias("fp"), ident.alias("ident"))
