@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Symbols counted, and the largest share of characters that may lie inside
-#: duplicated n-grams of each length, or inside lines equal to an earlier one.
+#: duplicated n-grams of each length, or inside lines equal to an earlier one. Characters of first
+#: occurrences count as duplicated too, so one line said twice costs twice its share.
 SYMBOLS = "#*$%&|<>"
-MOST_COVERED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-MOST_IN_LINES = 0.20
+MOST_COVERED = {5: 0.35, 6: 0.35, 7: 0.35, 8: 0.35, 9: 0.35, 10: 0.35}
+MOST_IN_LINES = 0.25
 BASE_WINDOW = 8
 BASE_LEAST_WORDS = 20
 BASE_MOST_REPEATED = 30  # per cent of the words
