@@ -17,8 +17,9 @@ def chunk_count(n: Column, size: int, overlap: int) -> Column:
 def chunk_tokens(docs: DataFrame, size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP) -> DataFrame:
     """``docs`` (any columns and ``text``) as one row per chunk: ``chunk_idx`` and ``words``, no empty chunk."""
     keys = [c for c in docs.columns if c != "text"]
-    words = docs.select(*keys, tokens(F.col("text")).alias("all_words")).where(F.size("all_words") > 0)
-    starts = F.sequence(F.lit(0), chunk_count(F.size("all_words"), size, overlap) - 1)
+    words = docs.select(*keys, tokens(F.col("text")).alias("all_words"))
+    # no start for a text without tokens; a filter on its size would split every text twice
+    starts = F.when(F.size("all_words") > 0, F.sequence(F.lit(0), chunk_count(F.size("all_words"), size, overlap) - 1))
     rows = words.select(*keys, "all_words", F.explode(starts).alias("chunk_idx"))
     piece = F.slice("all_words", F.col("chunk_idx") * (size - overlap) + 1, F.lit(size))
     return rows.select(*keys, F.col("chunk_idx").cast("long").alias("chunk_idx"), piece.alias("words"))

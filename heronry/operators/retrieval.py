@@ -62,8 +62,11 @@ def top_k(found: DataFrame, order: list[str], k: int = config.TOP_K, threshold:
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = config.TOP_K, threshold: float = config.DISTANCE_THRESHOLD) -> DataFrame:
-    """Nearest chunks (doc_id, uri, chunk_idx, words) of queries (query_id, text)."""
-    key = ["doc_id", "uri", "chunk_idx"]
+    """Nearest chunks (doc_id, chunk_idx, words) of queries (query_id, text).
+
+    What else a caller wants of a chunk is joined to these few rows: it need not go through the sums.
+    """
+    key = ["doc_id", "chunk_idx"]
     return top_k(distances(queries, chunks, key), ["doc_id", "chunk_idx"], k, threshold)
 
 

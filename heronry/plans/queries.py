@@ -50,8 +50,9 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retrieved(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    found = retrieval.retrieve(_questions(spark, sf_dir), chunking.chunk_tokens(_documents(spark, sf_dir)), config.TOP_K, threshold)
-    return found.select("query_id", F.col("rn").cast("long").alias("rn"), "doc_id", "chunk_idx", "uri", "dist")
+    docs = _documents(spark, sf_dir)
+    found = retrieval.retrieve(_questions(spark, sf_dir), chunking.chunk_tokens(docs.select("doc_id", "text")), config.TOP_K, threshold)
+    return found.join(docs.select("doc_id", "uri"), "doc_id").select("query_id", F.col("rn").cast("long").alias("rn"), "doc_id", "chunk_idx", "uri", "dist")
 
 
 def _wide_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
