@@ -31,7 +31,10 @@ LEAST_SEEN = 8
 LEAST_OFF = 5
 FOLDS = 3
 ROUNDS = 150
-THRESHOLD = 0.5
+STEM = 5
+#: The sample holds more toxic documents than the corpus does, yet one toxic word among clean ones
+#: weighs little: on held-out labelled documents 0.3 finds most of them and no clean one.
+THRESHOLD = 0.3
 CATEGORIES = ("low_quality", "toxic")
 
 #: ASCII punctuation becomes blank and A-Z lower case; all other bytes stay.
@@ -39,7 +42,9 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum(
 
 
 def words(text: str) -> set[bytes]:
-    return set(text.encode("utf-8", "replace").translate(_FOLD).split())
+    """Distinct words, and the first bytes of longer ones marked as such: rare forms share a stem."""
+    found = set(text.encode("utf-8", "replace").translate(_FOLD).split())
+    return found | {b"^" + w[:STEM] for w in found if len(w) > STEM}
 
 
 @dataclass
