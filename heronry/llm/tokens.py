@@ -26,7 +26,17 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _plain = re.compile(f"[\n -~{_LETTERS}]+").fullmatch
 _words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+").findall
 _bytes = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+").findall
-_not_simple = re.compile(r"\s\s|[^\S \n]|\x01").search
+_spaced = re.compile(r"\s\s|[^\S \n]|\x01").search
+#: Control bytes, and the first bytes of all characters beyond ASCII that are white space.
+_DOUBTFUL = bytes([*range(10), *range(11, 32), 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def _not_simple(data: bytes, text: str) -> bool:
+    """Whether white space other than single blanks and line feeds may be in a text."""
+    if b"  " in data or b"\n\n" in data or b" \n" in data or b"\n " in data:
+        return True
+    return len(data.translate(None, _DOUBTFUL)) < len(data) and bool(_spaced(text))
+
 
 _loaded: dict[str, "TokenBytes"] = {}
 
@@ -80,7 +90,7 @@ class TokenBytes(dict):
         data = text.encode("utf-8", "replace")
         if self.words:
             return data.split()
-        if _not_simple(text):
+        if _not_simple(data, text):
             return [data]
         return [p for p in data.replace(b" ", b"\x01 ").replace(b"\n", b"\x01\n\x01").split(b"\x01") if p]
 
