@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heronry.llm import bpe, langid, licenses, media_gif, orc_tokens, packing, queries, repetition, simhash, suffix_dedup, tokens, toxicity
+from heronry.llm import bpe, langid, licenses, media_gif, near_copies, orc_tokens, packing, queries, repetition, simhash, suffix_dedup, tokens, toxicity
 from heronry.llm.runtime import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, piece string, fp string, block int, uid string, spans string"
@@ -396,3 +396,39 @@ def test_pipeline_stages(spark, small, monkeypatch):
     assert [len(r.text.encode()) for r in cut.orderBy("doc_id").collect()] == pytest.approx([n - k for n, k, _, _ in flags], abs=6)
     total = sum(len(library_ids("word_bpe_49k.json", r.text)) + 1 for r in cut.collect())
     assert packed.agg(F.sum("length")).first()[0] == total
+
+
+def near_components(texts, shingle=5):
+    """Least index of each component of texts 4 bits apart or with a Jaccard similarity of 0.8 or more, by brute force."""
+    sets, fps = [], [brute_fingerprint(t) for t in texts]
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            near = (fps[a] ^ fps[b]).bit_count() <= 4 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            if near and label[a] != label[b]:
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    return sorted(set(label))
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_near_copies_of_a_few_words_are_one(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng, base, other = random.Random(8), texts[9].split(), texts[12].split()
+    many = list(texts)
+    for words in (base, other):
+        for k in range(14):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), 1 + k % 6):
+                copy[at] = f"changed{k}"
+            many.append(" ".join(copy))
+    docs = table(spark, many)
+    want = near_components(many)
+    assert len(want) < simhash.keep_one(docs, 4, 4).count()
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+    staged = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in staged.collect()) == want
+    assert near_copies.keep_one(docs.where("doc_id < 0")).count() == 0
