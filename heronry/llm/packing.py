@@ -242,7 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     """
     pieces = materialize(cut_pieces(docs, tokenizer, capacity, end_id), "pack-pieces")
     full = F.col("length") == capacity
-    own = -(F.col("uid") * F.lit(1 << 22) + F.col("piece")) - 1
+    own = -F.monotonically_increasing_id() - 1  # of the table as written: one for each of its rows
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     parts = [pieces.where(full).select(*columns[:5], own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     pool, before = pieces.where(~full), None

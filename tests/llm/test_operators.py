@@ -85,6 +85,15 @@ def test_op1_packs_every_piece_once(spark, texts, monkeypatch):
     assert least <= len(bins) <= 1.1 * least + 1
 
 
+def test_op1_full_pieces_of_many_partitions(spark):
+    docs = spark.range(0, 1040, 1, 520).selectExpr("id as doc_id", "'a b c d e f g h i' as text")
+    rows = packing.pack(docs, P.path("word_bpe_49k.json"), 4, 0).collect()
+    places = Counter((r.sequence_id, r.offset) for r in rows)
+    assert len(rows) == 3 * 1040 and max(places.values()) == 1
+    full = [r for r in rows if r.length == 4]
+    assert len({r.sequence_id for r in full}) == len(full) == 2080 and all(r.sequence_id < 0 and r.offset == 0 for r in full)
+
+
 def test_op1_crossover_keeps_items_and_improves():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 2048) for _ in range(300)]
