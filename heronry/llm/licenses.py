@@ -1,9 +1,11 @@
 """Licence scans: a trained paragraph classifier whose predictions a template comparison confirms.
 
-Paragraphs are lines. Those with one of a few licence stems are classified by a sparse logistic
-regression on word unigrams and bigrams, with an *unknown* class and probabilities calibrated by
-a temperature; all others are unknown by definition. A predicted family is confirmed when enough
-of one of its templates' word trigrams stand in the paragraph.
+Texts are split at blank lines into paragraphs, whose wrapped lines are joined by a blank. Those
+with one of a few licence stems, and single lines with one, as a notice may stand on a line of a
+longer paragraph, are classified by a sparse logistic regression on word unigrams and bigrams, with
+an *unknown* class and probabilities calibrated by a temperature; all others are unknown by
+definition. A predicted family is confirmed when enough of one of its templates' word trigrams
+stand in the paragraph or line.
 
 The scan is a narrow projection of built-in functions: no Python on executors, no shuffle. The
 model is trained on the driver from the templates and a bounded sample of ordinary lines.
@@ -190,7 +192,7 @@ def sample_lines(docs: DataFrame) -> list[str]:
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_paragraphs (with a stem), families (confirmed), unconfirmed, best_probability."""
+    """doc_id, n_paragraphs (with a stem; a notice line is not counted again), families (confirmed), unconfirmed, best_probability."""
     classes, t = model["classes"], model["temperature"]
     weights = F.from_json(F.lit(json.dumps(model["weights"])), "map<string,array<double>>")
     bias = F.array(*[F.lit(float(b)) for b in model["bias"]])
@@ -218,21 +220,30 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
         return F.struct(family.alias("family"), best.alias("probability"), sure.alias("sure"), F.coalesce(covered >= LEAST_COVERED, F.lit(False)).alias("confirmed"))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.when(has_stem(text), F.filter(F.split(text, "\n"), has_stem)).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
-    rows = rows.select("doc_id", F.transform("lines", words_of).alias("words"))
+    joined = lambda x: F.regexp_replace(x, r"\s*\n\s*", " ")
+    none = F.array().cast("array<string>")
+    parts = F.filter(F.transform(F.split(text, r"\n[^\S\n]*\n\s*"), joined), has_stem)
+    any_stem = has_stem(joined(text))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.when(any_stem, parts).otherwise(none).alias("parts"),
+        F.when(any_stem, F.filter(F.split(text, "\n"), has_stem)).otherwise(none).alias("single"),
+    )
+    rows = rows.select("doc_id", F.size("parts").alias("n_paragraphs"), F.array_union("parts", "single").alias("lines"))
+    rows = rows.select("doc_id", "n_paragraphs", F.transform("lines", words_of).alias("words"))
     rows = rows.select(
         "doc_id",
+        "n_paragraphs",
         F.transform("words", lambda w: F.array_union(grams_of(w, 1), grams_of(w, 2))).alias("grams"),
         F.transform("words", lambda w: grams_of(w, 3)).alias("three"),
     )
-    rows = rows.select("doc_id", "three", F.transform("grams", logits).alias("logits"))
-    rows = rows.select("doc_id", "three", F.transform("logits", softmax).alias("prob"))
-    rows = rows.select("doc_id", F.zip_with("prob", "three", judged).alias("found"))
+    rows = rows.select("doc_id", "n_paragraphs", "three", F.transform("grams", logits).alias("logits"))
+    rows = rows.select("doc_id", "n_paragraphs", "three", F.transform("logits", softmax).alias("prob"))
+    rows = rows.select("doc_id", "n_paragraphs", F.zip_with("prob", "three", judged).alias("found"))
     of = lambda test: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("found", test), lambda x: x["family"]))), ",")
     return rows.select(
         "doc_id",
-        F.size("found").alias("n_paragraphs"),
+        "n_paragraphs",
         of(lambda x: x["sure"] & x["confirmed"]).alias("families"),
         of(lambda x: x["sure"] & ~x["confirmed"]).alias("unconfirmed"),
         F.round(F.coalesce(F.array_max(F.transform("found", lambda x: F.when(x["sure"], x["probability"]))), F.lit(0.0)), 6).alias("best_probability"),

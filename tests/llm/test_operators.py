@@ -4,6 +4,7 @@ repeated rows, empty tables and columns whose names clash with the operators' ow
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -333,6 +334,15 @@ def test_op8_families(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_op8_wrapped_notices(spark):
+    model = licenses.train([f"ordinary line number {i} about herons" for i in range(300)])
+    cases = [(t, f) for f, v in licenses.TEMPLATES.items() for t in v if len(t) > 72]
+    docs = table(spark, [f"some words here\n\n{textwrap.fill(t, 72)}\n \nmore words" for t, _ in cases])
+    got = {r.doc_id: r for r in licenses.scan(docs, model).collect()}
+    assert [got[i].families for i in range(len(cases))] == [f for _, f in cases]
+    assert all(r.n_paragraphs == 1 for r in got.values())
+
+
 def test_op9_reads_back(spark, texts):
     ids = IDS(len(texts))
     docs = table(spark, texts, ids)
