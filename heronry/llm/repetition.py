@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: duplicated n-grams of each length, or inside lines equal to an earlier one. Characters of first
 #: occurrences count as duplicated too, so one line said twice costs twice its share.
 SYMBOLS = "#*$%&|<>"
-MOST_COVERED = {5: 0.35, 6: 0.35, 7: 0.35, 8: 0.35, 9: 0.35, 10: 0.35}
+MOST_COVERED = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 MOST_IN_LINES = 0.25
 BASE_WINDOW = 8
 BASE_LEAST_WORDS = 20

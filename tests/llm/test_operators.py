@@ -168,6 +168,15 @@ def test_op3_counts(spark, texts):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
 
 
+def test_op3_limits_fall_with_length():
+    words = [f"word{k:02d}" for k in range(88)]
+    text = lambda n: " ".join(words[:n] + words[30:40] + words[n:])
+    assert repetition.measure(text(70))[5] is False and repetition.measure(text(70))[-1] is False  # 20 of 98 words
+    assert repetition.measure(" ".join([text(70), *(f"more{k}" for k in range(20))]))[-1] is True
+    limits = [repetition.MOST_COVERED[n] for n in sorted(repetition.MOST_COVERED)]
+    assert all(a > b for a, b in zip(limits, limits[1:]))
+
+
 def test_op4_is_tiktoken(spark, texts):
     ranks = bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     docs = table(spark, texts, IDS(len(texts)))
