@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on distributed islands.
 
 Pieces are dealt by a hash into blocks of bounded size. In each block several islands keep a
-small population of packings. Crossover injects whole well-filled bins of one parent, drops
-bins of the other that hold a document already placed, and best-fits the displaced documents;
-between epochs each island sends its best packing to the next one. Bins that stay badly filled
-give their pieces back; these few are pooled over all blocks and packed again, until one block
-is left. Nothing but counts reaches the driver.
+population of packings, first made by best fit in orders that are decreasing, blurred or random.
+Crossover injects whole well-filled bins of one parent, keeps such bins of the other that hold no
+piece already placed, and best-fits the displaced pieces; a better child takes the worst place.
+An island stops when some generations gain nothing; between epochs it sends its best packing to
+the next one. Bins that stay badly filled give their pieces back; these few are pooled over all
+blocks and packed again, until one block is left, the lower bound is met or a round gains
+nothing. Nothing but counts reaches the driver.
 
 Defined results: a null text is an empty text, and every text ends with the end id, so the
 shortest piece has one token. Repeated rows and repeated or null ids are separate documents.
@@ -32,10 +34,18 @@ from heronry.llm.runtime import id_text, materialize
 BLOCK = 6000
 ISLANDS = 3
 EPOCHS = 2
-GENERATIONS = 2
-POPULATION = 3
+#: Of an epoch: the most generations, and those without gain that end it.
+GENERATIONS = 12
+PATIENCE = 5
+POPULATION = 10
 #: A bin with a larger share of unused places gives its pieces to the next round.
 SLACK = 0.01
+#: A round that saves a smaller share of the bins of its pool is the last.
+LEAST_GAIN = 0.001
+#: How much an order by decreasing size is blurred (1: all but random), and the unused share up to which
+#: a bin counts as well filled; crossover draws from both.
+BLURS = (0.0, 0.1, 0.3, 1.0)
+SLACKS = (0.0, 0.002, 0.005, SLACK)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
@@ -82,9 +92,9 @@ class Packing:
         self._file(len(self.bins) - 1)
 
     def best_fit(self, items: list[int]) -> None:
-        """Each item, the longest first, goes where it leaves the least space."""
+        """Each item, in this order, goes where it leaves the least space."""
         sizes, space, opened = self.sizes, self.space, self.open
-        for i in sorted(items, key=lambda i: -sizes[i]):
+        for i in items:
             above = self.mask >> sizes[i]
             if above:
                 s = sizes[i] + (above & -above).bit_length() - 1
@@ -116,54 +126,61 @@ def groups(labels: np.ndarray) -> list[list[int]]:
     return [g.tolist() for g in np.split(order, edges)] if len(labels) else []
 
 
+def blurred(sizes: list[int], items: list[int], blur: float, rng: random.Random) -> list[int]:
+    """The items by decreasing size, each size taken for up to ``blur`` more or less than it is."""
+    key = {i: sizes[i] * (1 + blur * (2 * rng.random() - 1)) for i in items}
+    return sorted(items, key=key.get, reverse=True)
+
+
 def crossover(sizes: list[int], capacity: int, a: np.ndarray, b: np.ndarray, rng: random.Random) -> np.ndarray:
-    """A child with well-filled bins of ``a``, the bins of ``b`` free of duplicates, and the rest best-fitted."""
+    """A child with well-filled bins of ``a``, those of ``b`` free of duplicates, and the rest best-fitted."""
     child, placed = Packing(sizes, capacity), set()
-    filled = lambda g: sum(sizes[i] for i in g) >= capacity * (1 - SLACK)
+    least = capacity * (1 - rng.choice(SLACKS))
     for g in groups(a):
-        if filled(g) and rng.random() < 0.7:
+        if sum(sizes[i] for i in g) >= least and rng.random() < 0.8:
             child.inject(g)
             placed.update(g)
     displaced = []
     for g in groups(b):
-        if placed.isdisjoint(g) and filled(g):
+        if placed.isdisjoint(g) and sum(sizes[i] for i in g) >= least:
             child.inject(g)
         else:  # a duplicate or a poor bin: what is not placed yet is displaced
             displaced += [i for i in g if i not in placed]
-    child.best_fit(displaced)
+    child.best_fit(blurred(sizes, displaced, rng.choice(BLURS), rng))
     return child.labels()
 
 
-def mutate(sizes: list[int], capacity: int, a: np.ndarray, rng: random.Random) -> np.ndarray:
-    """Dissolve the bins that are not well filled and some that are, then best-fit their items."""
-    child, loose = Packing(sizes, capacity), []
-    for g in groups(a):
-        if sum(sizes[i] for i in g) >= capacity * (1 - SLACK) and rng.random() < 0.8:
-            child.inject(g)
-        else:
-            loose += g
-    child.best_fit(loose)
-    return child.labels()
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
 
 
 def evolve(sizes: list[int], capacity: int, population: list[np.ndarray], seed: int) -> list[np.ndarray]:
-    """Some generations of one island, best packing first. Stops early at the lower bound of bins."""
+    """Some generations of one island, best packing first.
+
+    Ends early when nothing can be gained: as few bins as the lower bound, all but one well filled.
+    """
     rng, known = random.Random(seed), np.array(sizes, float)
     score = lambda p: (-int(p.max(initial=-1)), fitness(known, p, capacity))
     if not population:
-        first = Packing(sizes, capacity)
-        first.best_fit(list(range(len(sizes))))
-        population = [first.labels()]
-    least = max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
-    population.sort(key=score, reverse=True)
-    for _ in range(GENERATIONS):
-        if len(population[0]) == 0 or population[0].max() + 1 <= least:
+        for k in range(POPULATION):
+            first = Packing(sizes, capacity)
+            first.best_fit(blurred(sizes, list(range(len(sizes))), BLURS[(k + seed) % len(BLURS)], rng))
+            population.append(first.labels())
+    least = lower_bound(sizes, capacity)
+    ranked = sorted(((score(p), k, p) for k, p in enumerate(population)), key=lambda x: x[:2], reverse=True)
+    idle = 0
+    for generation in range(GENERATIONS if sizes else 0):
+        best = ranked[0][2]
+        poor = int((np.bincount(best, known) < capacity * (1 - SLACK)).sum())
+        if idle == PATIENCE or best.max() + 1 <= least and poor <= 1:
             break
-        children = [mutate(sizes, capacity, population[0], rng)]
-        a, b = population[0], population[rng.randrange(len(population))]
-        children.append(crossover(sizes, capacity, a, b if b is not a else children[0], rng))
-        population = sorted(population + children, key=score, reverse=True)[:POPULATION]
-    return population
+        a = ranked[min(rng.randrange(len(ranked)), rng.randrange(len(ranked)))][2]
+        child = crossover(sizes, capacity, a, ranked[rng.randrange(len(ranked))][2], rng)
+        value = score(child)
+        idle = 0 if value > ranked[0][0] else idle + 1
+        if all(value != r[0] for r in ranked):
+            ranked = sorted([*ranked, (value, POPULATION + ISLANDS + generation, child)], key=lambda x: x[:2], reverse=True)
+    return [p for _, _, p in ranked[:POPULATION]]
 
 
 ISLAND = "block long, island int, sizes binary, population array<binary>"
@@ -187,8 +204,8 @@ def migrate(islands: DataFrame) -> DataFrame:
     return islands.join(elite, ["block", "island"]).select("block", "island", "sizes", F.concat("population", "guest").alias("population"))
 
 
-def _round(pool: DataFrame, capacity: int, number: int, blocks: int, last: bool) -> DataFrame:
-    """Pack one pool: every piece with ``sequence_id``, ``offset`` and whether its bin is final."""
+def _round(pool: DataFrame, capacity: int, number: int, blocks: int) -> DataFrame:
+    """Pack one pool: every piece with ``sequence_id``, ``offset`` and whether its bin is well filled."""
     where = F.pmod(F.xxhash64("uid", "piece", F.lit(number)), F.lit(blocks)).alias("block")
     item = F.struct("doc_id", "piece", "start", "length", "ids_crc32", "uid")
     rows = pool.groupBy(where).agg(F.collect_list(item).alias("items"))
@@ -217,7 +234,7 @@ def _round(pool: DataFrame, capacity: int, number: int, blocks: int, last: bool)
                 offset = np.empty(len(sizes), "i8")
                 offset[order] = begins - np.maximum.accumulate(np.where(first, begins, 0))
                 fill = np.bincount(labels, sizes)
-                done = np.full(len(sizes), True) if last else (fill >= capacity * (1 - SLACK))[labels]
+                done = (fill >= capacity * (1 - SLACK))[labels]
                 yield pd.DataFrame({"block": [block], "bin": [labels.astype("i8")], "offset": [offset], "done": [done]})
 
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,14 +264,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     parts = [pieces.where(full).select(*columns[:5], own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     pool, before = pieces.where(~full), None
     for number in range(1, 40):
-        count = pool.count()
-        blocks = max(1, round(count / BLOCK))
-        last = blocks == 1 or (before is not None and count > before / 2)
-        placed = _round(pool, capacity, number, blocks, last)
-        parts.append(placed.where("done").select(*columns))
-        if last:
+        blocks = max(1, round(pool.count() / BLOCK))
+        placed = _round(pool, capacity, number, blocks)
+        # each bin has one piece at offset 0
+        opens, poor = F.col("offset") == 0, ~F.col("done")
+        counted = placed.agg(F.count_if(opens), F.count_if(opens & poor), F.sum(F.when(poor, F.col("length"))), F.count_if(poor & (2 * F.col("length") > capacity)))
+        bins, left, used, large = counted.first()
+        gained = before is None or bins < before * (1 - LEAST_GAIN)
+        if blocks == 1 or left <= max(-(-(used or 0) // capacity), large) or not gained:
+            parts.append(placed.select(*columns))
             break
-        pool, before = placed.where("not done").select("doc_id", "piece", "start", "length", "ids_crc32", "uid"), count
+        parts.append(placed.where("done").select(*columns))
+        pool, before = placed.where("not done").select("doc_id", "piece", "start", "length", "ids_crc32", "uid"), left
+    else:
+        raise RuntimeError("pieces are left after the last round of packing")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
