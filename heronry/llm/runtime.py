@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +16,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) is a folder of our own made.
+    Only where the setting is absent on a single machine (tests) is a folder of our own made: on
+    a cluster executors would each write to their own disk, so there the setting is asked for.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="heronry-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -40,13 +47,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a table that no later plan reads."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def free(*tables: DataFrame | None) -> None:
+    """Remove materialized tables that no later plan reads; their disk is free at once."""
+    for table in tables:
+        if table is None:
+            continue
+        spark = table.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows sorted by their first column as tables that never part equal keys, with the starts of the keys.
+
+    For ``repartition(key).sortWithinPartitions(key).mapInArrow``: groups arrive many to a batch,
+    and no more than a batch and one group is held.
+    """
+    rest: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        keys = part.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if rest and rest[-1].column(0)[0].as_py() == keys[-1]:
+            rest.append(part)
+            continue
+        if rest and rest[-1].column(0)[0].as_py() != keys[0] or cut:
+            yield _with_starts(pa.concat_tables([*rest, part.slice(0, cut)]))
+            rest = []
+        rest.append(part.slice(cut))
+    if rest:
+        yield _with_starts(pa.concat_tables(rest))
+
+
+def _with_starts(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    keys = table.column(0).to_numpy()
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,23 @@
-"""Repeated passages by suffix arrays: remove every byte of a string of ``length`` that also starts elsewhere.
+"""Repeated passages by suffix arrays: find every string of ``length`` bytes that also starts elsewhere.
 
-1. Anchors. Every window of ``length`` bytes owns the least hash of the ``GRAM``-byte grams in
-   it; windows of equal content own equal grams at equal places. The windows of a text that own
-   the same gram are one *context*. Grams seen once in the corpus rule out their contexts.
+Several lengths are searched at once; the shortest is the *window*.
+
+1. Anchors. Every window owns the least hash of the ``gram``-byte grams in it; windows of equal
+   content own equal grams at equal places. The windows of a text that own the same gram are one
+   *context*, whose bytes reach as far as the longest string that starts in it, or to the text's
+   end. Grams seen once in the corpus rule out their contexts.
 2. Equal contexts are counted together (so thousands of copies are one row with a weight) and
    the distinct ones are dealt into shards by gram, so equal windows meet in one shard. A gram
    with more contexts than a shard holds is dealt over several.
 3. In each shard a suffix array is made by Larsson-Sadakane refinement: groups of suffixes equal
    to some depth are sorted by the rank of the suffix that deep, which doubles the depth; only
    groups of two or more stay active. Kasai's scan in text order, all contexts in lockstep, gives
-   the common prefixes. A window whose neighbour in the array shares ``length`` bytes is repeated.
+   the common prefixes. A window whose neighbour window in the array shares ``length`` bytes is
+   the start of a repeated string of that length.
 4. Shards of one gram are merged: each sends its distinct windows as sorted runs of 64-bit
    hashes, cut into slices; runs are searched in the merged slice by binary search.
 5. Repeated windows go back to all places with that context, and from each text the union of
-   its repeated windows is cut.
+   its repeated strings is cut.
 
 Nothing is dropped or sampled, and only counts reach the driver. Defined results: a null text is
 an empty text; texts shorter than ``length`` are never touched; repeated rows repeat their bytes,
@@ -32,12 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.runtime import id_text, materialize
+from heronry.llm.runtime import free, id_text, key_runs, materialize
 
 LENGTH = 400
-GRAM = 100
-#: Contexts of a shard, about 550 bytes each.
-SHARD = 2000
+#: Nearly all passages of over 50 words have so many bytes: of 5,800 shared runs of over 50 words
+#: between documents without near copies 99 in 100 have 289 bytes or more, the shortest 253.
+PASSAGE = 280
+GRAM = 60
+#: Contexts, about 500 bytes each, that a shard holds on average (its arrays fit a core's cache), and
+#: those of one gram beyond which it is divided over several shards.
+SHARD = 700
+DIVIDED = 2000
 #: Bytes hashed together; positions in a block take 21 bits of a window's key.
 BLOCK = 1 << 20
 
@@ -85,8 +94,11 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(values) - width + 1], least[width - span : width - span + len(values) - width + 1])
 
 
-def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Contexts of the texts at [starts, ends) of one block: text, first window, windows, gram hash, context hash."""
+def contexts(data: np.ndarray, starts: np.ndarray, owned: np.ndarray, ends: np.ndarray, length: int, longest: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Contexts of the texts at [starts, ends) of one block, of which the first ``owned`` windows count.
+
+    Gives text, first window, windows, gram hash and context hash of each.
+    """
     n = len(data)
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if n < length:
@@ -98,9 +110,8 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     owner = (sliding_minimum(key, length - gram + 1) & low).astype(np.int64)  # of windows 0 .. n - length
     # window j is valid if it lies in one text: mark the texts' ranges of windows
     text = np.full(len(owner) + 1, -1, np.int32)
-    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-        if b - a >= length:
-            text[a : b - length + 1] = k
+    for k, (a, windows) in enumerate(zip(starts.tolist(), owned.tolist())):
+        text[a : a + windows] = k
     text = text[:-1]
     change = np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])]
     first = np.flatnonzero(change)
@@ -109,28 +120,30 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     first, count = first[inside], count[inside]
     if not len(first):
         return none
-    at = owner[first]
-    whole = hashes.of(first, first + count + (length - 1))
-    shape = (count.astype(np.uint64) << np.uint64(32)) | (at - first).astype(np.uint64)
-    context = _mix(whole ^ _mix(shape))
     which = text[first].astype(np.int64)
+    at, end = owner[first], np.minimum(first + count + (longest - 1), ends[which])
+    shape = (count.astype(np.uint64) << np.uint64(42)) | ((at - first).astype(np.uint64) << np.uint64(21)) | (end - first).astype(np.uint64)
+    context = _mix(hashes.of(first, end) ^ _mix(shape))
     return which, first - starts[which], count, grams[at].view(np.int64), context.view(np.int64)
 
 
-def text_blocks(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Deal texts into blocks of (text, from, to); a long text is cut so that each window is in one block."""
+def text_blocks(sizes: list[int], length: int, longest: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Deal texts into blocks of (text, from, to, windows); of a long text each window counts in one block."""
     block, used = [], 0
     for k, n in enumerate(sizes):
         at = 0
         while n - at >= length:
             take = min(n - at, BLOCK - used)
-            if take < length:
+            if take < min(n - at, longest):
                 yield block
                 block, used = [], 0
                 continue
-            block.append((k, at, at + take))
+            windows = take - (length if at + take == n else longest) + 1
+            block.append((k, at, at + take, windows))
             used += take
-            at += take - length + 1
+            if at + take == n:
+                break
+            at += windows
     if block:
         yield block
 
@@ -138,96 +151,111 @@ def text_blocks(sizes: list[int], length: int) -> Iterator[list[tuple[int, int,
 ANCHORS = "doc_key long, text_hash long, lo int, n int, gram long, context long"
 
 
-def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def anchors(docs: DataFrame, length: int, longest: int, gram: int = GRAM) -> DataFrame:
     """Every context of every text: where its windows begin, how many they are, and its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, hashes = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            docs_, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             raw = [t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-            for block in text_blocks(list(map(len, raw)), length):
-                data = np.frombuffer(b"".join([raw[k][a:b] for k, a, b in block]), np.uint8)
-                ends = np.cumsum([b - a for _, a, b in block])
-                starts = ends - np.array([b - a for _, a, b in block])
-                which, lo, n, g, c = contexts(data, starts, ends, length, gram)
-                owner, base = np.array([k for k, _, _ in block])[which], np.array([a for _, a, _ in block])[which]
-                ids = pa.array([docs_[k] for k in owner.tolist()], pa.int64())
-                columns = [ids, pa.array(hashes[owner], pa.int64()), pa.array((lo + base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g), pa.array(c)]
+            for block in text_blocks(list(map(len, raw)), length, longest):
+                data = np.frombuffer(b"".join([raw[k][a:b] for k, a, b, _ in block]), np.uint8)
+                ends = np.cumsum([b - a for _, a, b, _ in block])
+                starts = ends - np.array([b - a for _, a, b, _ in block])
+                windows = np.array([w for *_, w in block])
+                which, lo, n, g, c = contexts(data, starts, windows, ends, length, longest, gram)
+                owner, base = np.array([k for k, *_ in block])[which], np.array([a for _, a, _, _ in block])[which]
+                columns = [pa.array(docs_[owner], pa.int64()), pa.array(hashes[owner], pa.int64()), pa.array((lo + base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g), pa.array(c)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_key", "text_hash", "lo", "n", "gram", "context"])
 
     rows = _keyed(docs).select("doc_key", "text_hash", "text").where(F.octet_length("text") >= length)
     return rows.mapInArrow(run, ANCHORS)
 
 
-WIDTH = 7  # bytes of the first key
+WIDTH = 5  # bytes of the first key
+#: Bits of a position that is sorted with its key; a larger shard is sorted by key alone, which is slower.
+PLACE_BITS = 21
+
+
+def _sorted(key: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (43 bits, overwritten) in ascending order with their places; equal keys keep ascending places."""
+    if size < 1 << PLACE_BITS:
+        key <<= np.uint64(PLACE_BITS)
+        key |= place.astype(np.uint64)
+        key.sort()
+        place = (key & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        key >>= np.uint64(PLACE_BITS)
+        return key, place
+    turn = np.argsort(key, kind="stable")
+    return key[turn], place[turn]
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    return np.r_[True, key[1:] != key[:-1]]
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and rank of concatenated texts, sorted to ``depth`` bytes; ``ends`` has each position's text end.
+    """Suffix array and rank of texts, each followed by one end byte, sorted to ``depth`` bytes.
 
-    A suffix ends with its text; an ended suffix sorts before longer ones, and equal ended ones in
-    text order. At a depth of the longest text this order is total, as Kasai's scan needs.
+    ``ends`` has the place of each position's end byte. End bytes come before all others and are
+    ranked in text order, so all suffixes differ at a depth beyond the longest text, and the
+    order is total, as Kasai's scan needs.
     """
     n = len(data)
     padded = np.r_[data, np.zeros(WIDTH, np.uint8)].astype(np.uint64)
-    place = np.arange(n)
-    left = ends - place
+    slots = np.arange(n)
+    left = np.minimum(ends - slots, WIDTH).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(WIDTH):
         key = key << np.uint64(8) | np.where(left > k, padded[k : k + n], np.uint64(0))
-    key = key << np.uint64(8) | np.minimum(left, WIDTH).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    head = np.r_[True, (ranked[1:] != ranked[:-1]) | (left[order][1:] < WIDTH)]
-    group = np.maximum.accumulate(np.where(head, place, 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = group
-    alone = head & np.r_[head[1:], True]
-    slots = np.flatnonzero(~alone)  # of groups that are still active
+    key, suffixes = _sorted(key << np.uint64(3) | left, slots, n)
+    head = _heads(key)
+    head |= key & np.uint64(7) < WIDTH  # with an end byte among the first ones nothing is equal
+    order, rank, bits = suffixes.copy(), np.empty(n, np.uint32), np.uint64(max(22, n.bit_length()))
     h = WIDTH
-    while h < depth and len(slots):
-        suffixes = order[slots]
-        beyond = suffixes + h
-        ended = beyond >= ends[suffixes]
-        second = np.where(ended, 0, rank[np.minimum(beyond, n - 1)] + 1)
-        first = group[slots]
-        both = first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
-        turn = np.argsort(both, kind="stable")
-        suffixes, both, ended = suffixes[turn], both[turn], ended[turn]
+    while True:
+        group = np.maximum.accumulate(np.where(head, slots, 0))
+        rank[suffixes] = group
         order[slots] = suffixes
-        head = np.r_[True, (both[1:] != both[:-1]) | ended[1:]]
-        group[slots] = np.maximum.accumulate(np.where(head, slots, 0))
-        rank[suffixes] = group[slots]
-        alone = head & np.r_[head[1:], True]
-        slots = slots[~alone]
+        active = ~(head & np.r_[head[1:], True])  # in groups of two or more
+        if h >= depth or not active.any():
+            break
+        slots, suffixes = slots[active], suffixes[active]
+        key = group[active].astype(np.uint64) << bits | rank[suffixes + h]
+        key, suffixes = _sorted(key, suffixes, n)
+        head = _heads(key)
         h *= 2
-    rank[order] = place  # ties beyond the depth in any fixed order
-    return order, rank
+    rank[order] = np.arange(n)  # ties beyond the depth in any fixed order
+    return order, rank.astype(np.int64)
 
 
-def kasai(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
+def kasai(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
     """Common prefix, up to ``most``, of each array entry with the one before it.
 
-    The prefix shrinks by at most one from a suffix to the next in the text, so the scan goes
-    in text order; every text has a lane of its own and eight bytes are compared at a time.
+    The array (``order``, and ``rank`` at each position) holds the first ``counts`` suffixes of each
+    text. The prefix shrinks by at most one from a suffix to the next in the text where the
+    neighbour's next suffix is in the array too, so the scan goes in text order; every text has a
+    lane of its own and eight bytes are compared at a time.
     """
-    n = len(data)
-    lcp = np.zeros(n, np.int32)
-    words = np.zeros(n + 8, np.uint64)
+    lcp = np.zeros(len(order), np.int32)
+    words = np.zeros(len(data) + 8, np.uint64)
     padded = np.r_[data, np.zeros(16, np.uint8)].astype(np.uint64)
     for k in range(8):
-        words |= padded[k : k + n + 8] << np.uint64(8 * k)
-    by_size = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[by_size], sizes[by_size]
+        words |= padded[k : k + len(data) + 8] << np.uint64(8 * k)
+    followed = np.zeros(len(data), bool)
+    followed[order] = True
+    followed[(starts + counts - 1)[counts > 0]] = False
+    by_size = np.argsort(-counts, kind="stable")
+    starts, counts = starts[by_size], counts[by_size]
     common = np.zeros(len(starts), np.int64)
-    for t in range(int(sizes.max(initial=0))):
-        live = int(np.searchsorted(-sizes, -t, "left"))  # lanes longer than t
+    for t in range(int(counts.max(initial=0))):
+        live = int(np.searchsorted(-counts, -t, "left"))  # lanes longer than t
         at = starts[:live] + t
         r = rank[at]
         other = order[np.maximum(r - 1, 0)]
         room = np.minimum(np.minimum(ends[at] - at, ends[other] - other), most)
         room[r == 0] = 0
-        have = np.minimum(np.maximum(common[:live] - 1, 0), room)
+        have = np.minimum(common[:live], room)
         todo = np.flatnonzero(have < room)
         while len(todo):
             differ = words[at[todo] + have[todo]] ^ words[other[todo] + have[todo]]
@@ -237,61 +265,92 @@ def kasai(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndar
             same[odd] = np.log2(bit.astype(np.float64)).astype(np.int64) >> 3
             have[todo] = np.minimum(have[todo] + same, room[todo])
             todo = todo[~odd & (have[todo] < room[todo])]
-        common[:live] = have
         lcp[r] = have
+        common[:live] = np.where(followed[other], np.maximum(have - 1, 0), 0)
     return lcp
 
 
-def repeated_windows(parts: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard: position, repeated elsewhere in it, first of its kind, and text of every window."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    stops = np.cumsum(sizes)
-    starts = stops - sizes
-    ends = np.repeat(stops, sizes)
-    order, rank = suffix_array(data, ends, int(sizes.max(initial=0)))
-    lcp = kasai(data, starts, sizes, ends, order, rank, length)
-    up = lcp >= length
-    down = np.r_[up[1:], False]
-    text = np.repeat(np.arange(len(parts)), counts)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[text]
-    slot = rank[at]
-    return at, (up | down)[slot], ~up[slot], text
-
+def joined(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all parts, each followed by a zero byte, and their sizes."""
+    if not pa.types.is_large_binary(parts.type):
+        parts = parts.cast(pa.large_binary())
+    at = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    sizes = np.diff(at)
+    data = np.zeros(int(at[-1] - at[0]) + len(parts), np.uint8)
+    inside = np.ones(len(data), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    data[inside] = np.frombuffer(parts.buffers()[2], np.uint8)[at[0] : at[-1]]
+    return data, sizes
 
-def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of true flags."""
-    edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
+def repeated_windows(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Of a shard: place and context of every window, and for each length whether it repeats and is the first of its kind.
 
-FOUND = "gram long, context long, shard long, divided boolean, first array<int>, last array<int>, open_at array<int>, open_hash array<long>, known_hash array<long>"
-
-
-def search_shard(length: int):
-    """One shard: runs of repeated windows of each context; for a divided gram also its windows' hashes."""
+    What follows a context's windows is only there to be compared with, so the array is narrowed
+    to windows before the scan for common prefixes.
+    """
+    stops = np.cumsum(sizes + 1) - 1
+    starts, ends = stops - sizes, np.repeat(stops, sizes + 1)
+    order, rank = suffix_array(data, ends, int(sizes.max(initial=0)) + 1)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[text]
+    window = np.zeros(len(data), bool)
+    window[at] = True
+    kept = window[order]
+    order, rank = order[kept], (np.cumsum(kept) - 1)[rank]
+    common = kasai(data, starts, counts, ends, order, rank, max(lengths))
+    found = {}
+    for length in lengths:
+        up = common >= length
+        found[length] = (up | np.r_[up[1:], False])[rank[at]], ~up[rank[at]]
+    return at, text, found
+
+
+#: Rows of a shard's result: a run of repeated windows; of a divided gram also each window that is
+#: not repeated so far, and one of each kind that is, with its hash.
+RUN, OPEN, KNOWN = range(3)
+FOUND = "gram long, context long, shard long, length int, kind int, first int, last int, hash long"
+
+
+def search_shard(table: pa.Table, lengths: list[int]) -> pa.RecordBatch:
+    """One shard: its contexts' runs of repeated windows; for a divided gram also its windows' hashes."""
+    column = {c: table.column(c).to_numpy() for c in ("gram", "context", "weight", "divided", "n")}
+    counts, many, divided = column["n"].astype(np.int64), column["weight"] > 1, column["divided"].astype(bool)
+    data, sizes = joined(table.column("bytes").combine_chunks())
+    at, text, found = repeated_windows(data, sizes, counts, lengths)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    opens, closes = (np.r_[x, text[1:] != text[:-1], y].astype(bool)[k : len(text) + k] for x, y, k in ((1, 1, 0), (1, 1, 1)))
+    hashes = Hashes(data) if divided.any() else None
+    rows = []  # context, length, kind, first, last, hash
+    for length in lengths:
+        again, first_of_kind = found[length]
+        fits = place + length <= sizes[text]
+        flags = (again | many[text]) & fits
+        begins = np.flatnonzero(flags & (opens | ~np.r_[False, flags[:-1]]))
+        stops = np.flatnonzero(flags & (closes | ~np.r_[flags[1:], False]))
+        rows.append((text[begins], length, RUN, place[begins], place[stops], np.zeros(len(begins), np.int64)))
+        if hashes:
+            own = divided[text] & fits
+            for kind, which in ((OPEN, own & ~flags), (KNOWN, own & flags & first_of_kind)):
+                w = np.flatnonzero(which)
+                rows.append((text[w], length, kind, place[w], place[w], _mix(hashes.of(at[w], at[w] + length)).view(np.int64)))
+    context = np.concatenate([r[0] for r in rows])
+    whole = lambda k: np.concatenate([np.full(len(r[0]), r[k]) for r in rows]).astype(np.int32)
+    joint = lambda k, kind: np.concatenate([r[k] for r in rows]).astype(kind)
+    shard = np.full(len(context), table.column("shard")[0].as_py(), np.int64)
+    columns = [column["gram"][context], column["context"][context], shard, whole(1), whole(2), joint(3, np.int32), joint(4, np.int32), joint(5, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in FOUND.split(", ")])
+
+
+def search_shards(dealt: DataFrame, lengths: list[int]) -> DataFrame:
+    """``search_shard`` of every shard of contexts (shard first, gram, context, weight, divided, n, bytes)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        parts, counts = frame["bytes"].tolist(), frame["n"].to_numpy(np.int64)
-        at, again, first_of_kind, text = repeated_windows(parts, counts, length)
-        divided = bool(frame["divided"].any())
-        hashes = None
-        if divided:
-            hashes = _mix(Hashes(np.frombuffer(b"".join(parts), np.uint8)).all(length)).view(np.int64)[at]
-        bounds = np.cumsum(counts) - counts
-        rows = []
-        shard = int(frame["shard"].iloc[0])
-        for k, (gram, context, weight) in enumerate(zip(frame["gram"], frame["context"], frame["weight"])):
-            own = slice(int(bounds[k]), int(bounds[k] + counts[k]))
-            flags = again[own] | (weight > 1)
-            first, last = runs(flags)
-            open_at = np.flatnonzero(~flags) if divided else np.zeros(0, int)
-            opened = hashes[own][open_at] if divided else np.zeros(0, int)
-            known = hashes[own][flags & first_of_kind[own]] if divided else np.zeros(0, int)
-            rows.append((gram, context, shard, bool(frame["divided"].iloc[k]), first.astype(np.int32), last.astype(np.int32), open_at.astype(np.int32), opened, known))
-        return pd.DataFrame(rows, columns=["gram", "context", "shard", "divided", "first", "last", "open_at", "open_hash", "known_hash"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, table in key_runs(batches):
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(table)]):
+                yield search_shard(table.slice(a, b - a), lengths)
 
-    return run
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
 
 
 def merge_runs(frame: pd.DataFrame) -> pd.DataFrame:
@@ -300,7 +359,7 @@ def merge_runs(frame: pd.DataFrame) -> pd.DataFrame:
     merged = np.sort(np.concatenate(sorted_runs))
     found = [r[np.searchsorted(merged, r, "right") - np.searchsorted(merged, r, "left") > 1] for r in sorted_runs]
     both = np.unique(np.concatenate(found))
-    return pd.DataFrame({"gram": np.full(len(both), frame["gram"].iloc[0], np.int64), "hash": both})
+    return pd.DataFrame({"gram": np.full(len(both), frame["gram"].iloc[0], np.int64), "length": np.full(len(both), frame["length"].iloc[0], np.int32), "hash": both})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -310,54 +369,62 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _across_shards(found: DataFrame, salts: DataFrame) -> DataFrame:
     """Windows of divided grams that other shards of the gram hold too, as runs of one window."""
-    parts = found.where("divided").join(salts, "gram")
-    hashes = parts.select("gram", "shard", "salts", F.explode(F.concat("open_hash", "known_hash")).alias("hash"))
+    hashes = found.where(F.col("kind") != RUN).join(salts, "gram").select("gram", "length", "shard", "salts", "hash")
     sliced = hashes.withColumn("slice", F.pmod(F.shiftrightunsigned("hash", 20), "salts"))
-    sorted_runs = sliced.groupBy("gram", "slice", "shard").agg(F.collect_list("hash").alias("run"))
-    both = sorted_runs.groupBy("gram", "slice").applyInPandas(merge_runs, "gram long, hash long")
-    opened = found.where("divided").select("gram", "context", F.explode(F.arrays_zip("open_at", "open_hash")).alias("o"))
-    opened = opened.select("gram", "context", F.col("o.open_at").alias("first"), F.col("o.open_hash").alias("hash"))
-    return opened.join(both, ["gram", "hash"]).select("gram", "context", "first", F.col("first").alias("last"))
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """doc_key, text_hash and ``spans`` (begin, end in bytes, in any order) of all texts with repeated strings."""
-    places = materialize(anchors(docs, length, gram), "sa-anchors")
-    twice = materialize(places.groupBy("gram").agg(F.count("*").alias("seen")).where("seen > 1").select("gram"), "sa-twice")
-    candidates = materialize(places.join(twice, "gram"), "sa-candidates")
-    place = F.struct("doc_key", "text_hash", "lo", "n")
-    distinct = materialize(candidates.groupBy("gram", "context").agg(F.count("*").alias("weight"), F.min(place).alias("place")), "sa-distinct")
-    shards = max(1, round(distinct.count() / shard))
-    kinds = distinct.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > shard)
-    salts = materialize(kinds.select("gram", F.ceil(F.col("kinds") / F.lit(shard)).alias("salts")), "sa-divided")
-    divided = F.col("salts").isNotNull()
-    name = F.when(divided, F.xxhash64("gram", F.pmod(F.xxhash64("context"), "salts"))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    dealt = distinct.join(salts, "gram", "left").select("gram", "context", "weight", "place", divided.alias("divided"), name.alias("shard"))
-    item = F.struct("gram", "context", "weight", "divided", "shard", "place.lo", "place.n")
-    wanted = dealt.groupBy("place.doc_key", "place.text_hash").agg(F.collect_list(item).alias("wanted"))
+    sorted_runs = sliced.groupBy("gram", "length", "slice", "shard").agg(F.collect_list("hash").alias("run"))
+    both = sorted_runs.groupBy("gram", "length", "slice").applyInPandas(merge_runs, "gram long, length int, hash long")
+    opened = found.where(F.col("kind") == OPEN)
+    return opened.join(both, ["gram", "length", "hash"]).select("gram", "context", "length", "first", "last")
+
+
+def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int = SHARD, most: int = DIVIDED) -> DataFrame:
+    """doc_key, text_hash and ``spans`` (length; begin, end in bytes, in any order) of all texts with repeated strings."""
+    window, longest = min(lengths), max(lengths)
+    places = materialize(anchors(docs, window, longest, gram), "sa-anchors")
+    # of repeated contexts any one place is read: the others hold the same bytes
+    one = [F.first(c).alias(c) for c in ("doc_key", "text_hash", "lo", "n")]
+    kinds = materialize(places.groupBy("gram", "context").agg(F.count("*").alias("weight"), *one), "sa-contexts")
+    twice = kinds.groupBy("gram").agg(F.sum("weight").alias("seen"), F.count("*").alias("kinds")).where("seen > 1").select("gram", "kinds")
+    twice = materialize(twice, "sa-twice")
+    shards = max(1, round((twice.agg(F.sum("kinds")).first()[0] or 0) / shard))
+    salts = F.ceil(F.col("kinds") / F.lit(most))
+    divided = F.col("kinds") > most
+    name = F.when(divided, F.xxhash64("gram", F.pmod(F.xxhash64("context"), salts))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    dealt = kinds.join(twice, "gram").select("gram", "context", "weight", "doc_key", "text_hash", "lo", "n", divided.alias("divided"), name.alias("shard"))
+    item = F.struct("gram", "context", "weight", "divided", "shard", "lo", "n")
+    wanted = dealt.groupBy("doc_key", "text_hash").agg(F.collect_list(item).alias("wanted"))
     # of repeated rows one is read: the others hold the same bytes
-    once = _keyed(docs).where(F.octet_length("text") >= length).dropDuplicates(["doc_key", "text_hash"])
+    once = _keyed(docs).where(F.octet_length("text") >= window).dropDuplicates(["doc_key", "text_hash"])
     picked = wanted.join(once, ["doc_key", "text_hash"]).select("wanted", F.encode("text", "UTF-8").alias("bytes"))
     cut = picked.select("bytes", F.explode("wanted").alias("w"))
-    cut = cut.select("w.gram", "w.context", "w.weight", "w.divided", "w.shard", "w.n", F.substring("bytes", F.col("w.lo") + 1, F.col("w.n") + F.lit(length - 1)).alias("bytes"))
-    found = materialize(cut.groupBy("shard").applyInPandas(search_shard(length), FOUND), "sa-found")
-    ranges = found.select("gram", "context", F.explode(F.arrays_zip("first", "last")).alias("r")).select("gram", "context", "r.first", "r.last")
-    if salts.limit(1).count():
-        ranges = ranges.unionByName(materialize(_across_shards(found, salts), "sa-across"))
-    back = candidates.join(ranges, ["gram", "context"])
-    span = F.struct((F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + F.lit(length)).alias("end"))
-    return back.groupBy("doc_key", "text_hash").agg(F.collect_set(span).alias("spans"))
-
-
-def union(spans) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes in any span."""
-    out: list[list[int]] = []
-    for begin, end in sorted((s["begin"], s["end"]) for s in spans or ()):
-        if out and begin <= out[-1][1]:
-            out[-1][1] = max(end, out[-1][1])
-        else:
-            out.append([begin, end])
-    return [(a, b) for a, b in out]
+    cut = cut.select("w.shard", "w.gram", "w.context", "w.weight", "w.divided", "w.n", F.substring("bytes", F.col("w.lo") + 1, F.col("w.n") + F.lit(longest - 1)).alias("bytes"))
+    found = materialize(search_shards(cut, sorted(set(lengths))), "sa-found")
+    ranges = found.where(F.col("kind") == RUN).select("gram", "context", "length", "first", "last")
+    split, across = twice.where(divided).select("gram", salts.alias("salts")), None
+    if split.limit(1).count():
+        across = materialize(_across_shards(found, split), "sa-across")
+        ranges = ranges.unionByName(across)
+    back = places.join(ranges, ["gram", "context"])
+    span = F.struct("length", (F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + F.col("length")).alias("end"))
+    spans = materialize(back.groupBy("doc_key", "text_hash").agg(F.collect_set(span).alias("spans")), "sa-spans")
+    free(places, kinds, twice, found, across)
+    return spans
+
+
+def spans_of(column: pa.ListArray, length: int) -> Iterator[list[tuple[int, int]]]:
+    """Of each row the maximal runs of the bytes in any span of this length."""
+    fields = [column.values.field(f).to_numpy(zero_copy_only=False) for f in ("length", "begin", "end")]
+    offsets = column.offsets.to_numpy().tolist()
+    for a, b in zip(offsets, offsets[1:]):
+        if a == b:
+            yield []
+            continue
+        own = fields[0][a:b] == length
+        begin, end = fields[1][a:b][own], fields[2][a:b][own]
+        order = np.argsort(begin)
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        first = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]][: len(begin)])
+        yield list(zip(begin[first].tolist(), end[np.r_[first[1:] - 1, -1]].tolist() if len(first) else []))
 
 
 def cut_out(data: bytes, removed: list[tuple[int, int]]) -> bytes:
@@ -368,26 +435,33 @@ def cut_out(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans and the digest of what is kept."""
+DIGESTS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passage_bytes": pa.int64(), "n_passages": pa.int64()}
+
+
+def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, most: int = DIVIDED, passage: int = PASSAGE) -> DataFrame:
+    """Per document: n_bytes, n_removed, n_spans and the digest of what is kept.
+
+    n_passage_bytes and n_passages are the bytes, and the maximal runs of them, inside repeated
+    strings of ``passage`` bytes; they report shorter repeats and remove nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data, removed = text.encode("utf-8", "replace"), union(spans)
+            spans = batch.column(2)
+            for doc, text, removed, shorter in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), spans_of(spans, length), spans_of(spans, passage)):
+                data = text.encode("utf-8", "replace")
                 kept = cut_out(data, removed)
-                rows.append((doc, len(data), len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest()))
-            kinds = [*[pa.int64()] * 4, pa.string()]
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((doc, len(data), len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in shorter), len(shorter)))
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(DIGESTS), DIGESTS.values())]
+            yield pa.RecordBatch.from_arrays(columns, list(DIGESTS))
 
-    found = materialize(repeats(docs, length, gram, shard), "sa-spans")
+    found = repeats(docs, [length, passage], gram, shard, most)
     joined = _keyed(docs).join(found, ["doc_key", "text_hash"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, most: int = DIVIDED) -> DataFrame:
     """``docs`` with repeated strings cut from ``text`` (and ``n_chars``, if there, counted anew).
 
     A cut may part a character; the bytes left of it are dropped. Every row stays, if need be with
@@ -398,13 +472,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            spans = batch.column(batch.num_columns - 1).to_pylist()
-            kept = [cut_out(t.encode("utf-8", "replace"), union(s)).decode("utf-8", "ignore") if s else t for t, s in zip(texts, spans)]
+            spans = spans_of(batch.column(batch.num_columns - 1), length)
+            kept = [cut_out(t.encode("utf-8", "replace"), s).decode("utf-8", "ignore") if s else t for t, s in zip(texts, spans)]
             columns = batch.columns[:-1]
             columns[at] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(batch.schema, columns)]))
 
-    found = materialize(repeats(docs, length, gram, shard), "sa-spans").toDF("__key", "__hash", "__spans")
+    found = repeats(docs, [length], gram, shard, most).toDF("__key", "__hash", "__spans")
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("__key")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
     cut = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
