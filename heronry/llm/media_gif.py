@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -28,6 +28,8 @@ from heronry.llm.runtime import id_text, shared_path
 WIDTH = 64
 #: Rows of samples in a frame; a longer payload goes on in the next frame.
 ROWS = 1024
+#: A larger canvas or frame is refused: a rendered one takes four bytes a pixel.
+MOST_PIXELS = 1 << 24
 DELAY = 10  # hundredths of a second
 
 _ORDER = np.arange(1, 4098)
@@ -184,16 +186,22 @@ class Frame:
 
 
 def decode_gif(data: bytes) -> list[Frame]:
+    return list(render(data))
+
+
+def render(data: bytes) -> Iterator[Frame]:
+    """Frame after frame; a damaged file, or one of more than ``MOST_PIXELS``, raises an error."""
     if data[:3] != b"GIF":
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height}")
     at, shared = 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
         shared, at = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(-1, 3), at + 3 * n
     canvas = np.zeros((height, width, 4), np.uint8)
     disposal, delay, clear = 0, 0, -1
-    out: list[Frame] = []
 
     def sub_blocks(at: int) -> tuple[bytes, int]:
         parts = []
@@ -218,6 +226,8 @@ def decode_gif(data: bytes) -> list[Frame]:
             n = 2 << (flags & 7)
             palette, at = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(-1, 3), at + 3 * n
         size = data[at]
+        if w * h > MOST_PIXELS or not 0 < size < 9:
+            raise ValueError(f"a frame of {w} x {h} with codes of {size} bits")
         stream, at = sub_blocks(at + 1)
         samples = np.frombuffer(lzw_decode(stream, size)[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if flags & 0x40:
@@ -234,13 +244,12 @@ def decode_gif(data: bytes) -> list[Frame]:
         drawn = samples != clear
         region[..., :3][drawn] = colours[samples[drawn]]
         region[..., 3][drawn] = 255
-        out.append(Frame(canvas.copy(), (top, left, *samples.shape), delay, disposal))
+        yield Frame(canvas.copy(), (top, left, *samples.shape), delay, disposal)
         if disposal == 2:
             region[:] = 0
         elif disposal == 3:
             canvas = before
         disposal, delay, clear = 0, 0, -1
-    return out
 
 
 def decode_payload(frames: list[Frame]) -> bytes:
@@ -248,68 +257,96 @@ def decode_payload(frames: list[Frame]) -> bytes:
     return b"".join(f.canvas[f.box[0] : f.box[0] + f.box[2], f.box[1] : f.box[1] + f.box[3], 0].tobytes() for f in frames)
 
 
+FRAME = "frame int, starts_ms int, duration_ms int, width int, height int, histogram array<long>"
+_FRAME = pa.struct([*((c, pa.int32()) for c in ("frame", "starts_ms", "duration_ms", "width", "height")), ("histogram", pa.list_(pa.int64()))])
+
+
+def timed(found: Iterable[Frame]) -> list[dict]:
+    """Frames as rows: when each is shown and for how long, its size and colour histogram."""
+    rows, now = [], 0
+    for i, f in enumerate(found):
+        rows.append({"frame": i, "starts_ms": now, "duration_ms": 10 * f.delay, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "histogram": f.histogram().tolist()})
+        now += 10 * f.delay
+    return rows
+
+
+def payload_frames(payload: bytes) -> list[dict]:
+    """The rows that ``timed`` gives for ``encode_payload``: a grey level is one cell on the diagonal of the histogram."""
+    step = WIDTH * ROWS
+    canvas = np.zeros(min(step, len(payload)), np.uint8)
+    rows = []
+    for i, at in enumerate(range(0, len(payload), step)):
+        part = np.frombuffer(payload[at : at + step], np.uint8)
+        canvas[: len(part)] = part
+        histogram = np.zeros(64, np.int64)
+        histogram[::21] = np.bincount(canvas >> 6, minlength=4)
+        rows.append({"frame": i, "starts_ms": 10 * DELAY * i, "duration_ms": 10 * DELAY, "width": WIDTH, "height": len(canvas) // WIDTH, "histogram": histogram.tolist()})
+    return rows
+
+
 def with_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the GIF of the text's bytes, padded with zero bytes to a multiple of ``WIDTH``."""
+    """doc_id, n_bytes, the GIF of the text's bytes, padded with zero bytes to a multiple of ``WIDTH``, and its timed frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 raw = [t.encode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                media = [encode_payload(r.ljust(max(1, -(-len(r) // WIDTH)) * WIDTH, b"\0")) for r in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                padded = [r.ljust(max(1, -(-len(r) // WIDTH)) * WIDTH, b"\0") for r in raw]
+                media, shown = pa.array(map(encode_payload, padded), pa.binary()), pa.array(map(payload_frames, padded), pa.list_(_FRAME))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), media, shown], ["doc_id", "n_bytes", "media", "frames"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return id_text(docs).mapInArrow(run, f"doc_id long, n_bytes long, media binary, frames array<struct<{FRAME}>>")
 
 
 def frames(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """One row per rendered frame: key, frame, starts_ms, duration_ms, width, height, histogram."""
+    """One row per rendered frame of any GIFs: key, frame, starts_ms, duration_ms, width, height, histogram.
+
+    A GIF that cannot be read to its end gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), *_FRAME])
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    found = decode_gif(data or b"")
-                except (ValueError, IndexError, struct.error):
+                    rows = timed(render(data or b""))
+                except Exception:  # noqa: BLE001  whatever damaged bytes make the decoder raise
                     continue
-                rows, now = [], 0
-                for i, f in enumerate(found):
-                    rows.append({"key": k, "frame": i, "starts_ms": now, "duration_ms": 10 * f.delay, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "histogram": f.histogram().tolist()})
-                    now += 10 * f.delay
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), *[(c, pa.int32()) for c in ("frame", "starts_ms", "duration_ms", "width", "height")], ("histogram", pa.list_(pa.int64()))]))
+                    yield pa.RecordBatch.from_pylist([{"key": k, **r} for r in rows], schema)
 
-    schema = "key long, frame int, starts_ms int, duration_ms int, width int, height int, histogram array<long>"
-    return media.select(F.col(key).cast("long"), column).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return media.select(F.col(key).cast("long"), column).mapInArrow(run, "key long, " + FRAME).withColumnRenamed("key", key)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms int"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What the stored GIFs hold, read back: digests of payload and medium, and a histogram feature."""
+    """What the stored GIFs hold, read back: digests of payload and medium, a histogram feature, and their stored frames' number and time."""
 
-    def one(doc, n, data) -> tuple:
+    def one(doc, n, data, shown, time) -> tuple:
         found = decode_gif(data)
         payload = decode_payload(found)
         cells = sum(f.histogram() for f in found)
         feature = f"{len(found)}x{found[0].delay}:" + "-".join(f"{i}.{c}" for i, c in enumerate(cells.tolist()) if c)
-        return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature
+        return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature, shown, time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         names = [c.split()[0] for c in DIGEST.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows = [one(*r) for r in zip(*(part.column(i).to_pylist() for i in range(3)))]
+                rows = [one(*r) for r in zip(*(part.column(i).to_pylist() for i in range(5)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+    last = F.element_at("frames", -1)
+    return media.select("doc_id", "n_bytes", "media", F.size("frames").alias("n_frames"), (last["starts_ms"] + last["duration_ms"]).alias("duration_ms")).mapInArrow(run, DIGEST)
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:
-    """Write the GIF column as a table in the shared folder and digest what is read back."""
+    """Write the GIFs and their timed frames as a table in the shared folder and digest what is read back."""
     spark = docs.sparkSession
     path = shared_path(spark, "gif")
     media = with_media(docs)
