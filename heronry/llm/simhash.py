@@ -1,7 +1,7 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints at distance ``radius`` or less have a common variant within half the radius of
-each. Every distinct fingerprint goes to each prefix that such a variant of it can have; that is
+each (of an odd radius: within the smaller half of one and the larger half of the other). Every distinct fingerprint goes to each prefix that such a variant of it can have; that is
 the shuffle on variants, one row for all variants of a prefix. There all its variants with the
 prefix are made and sorted, equal ones collide, the pairs are deduplicated and verified, and a
 spanning forest of the verified links is kept. Stars of links are then contracted to components.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.runtime import id_text, materialize
+from heronry.llm.runtime import free, id_text, materialize
 
 BITS = 64
 SEED = 42
@@ -71,21 +71,22 @@ def masks(bits: int, flips: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def collisions(fps: np.ndarray, prefix: int, bits: int, flips: int) -> tuple[np.ndarray, np.ndarray]:
+def collisions(fps: np.ndarray, prefix: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (larger, smaller) between fingerprints with a common variant of this prefix.
 
-    All who share a variant are within twice ``flips`` of each other, so linking each to the
-    least of them loses no component.
+    Those within the smaller half of the radius of a variant are its core: they are within the
+    radius of each other and of all who share the variant. Linking each to the least of the core
+    loses no component; for an even radius all belong to the core.
     """
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    low = BITS - bits
+    flips, low = (radius + 1) // 2, BITS - bits
     off = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(prefix)) if bits else np.zeros(len(fps), np.uint8)
     fps, left = fps[off <= flips], flips - off[off <= flips].astype(int)
     if len(fps) < 2:
         return none
     size = sum(int((left == r).sum()) * sum(math.comb(low, k) for k in range(r + 1)) for r in range(flips + 1))
     if size > AT_ONCE and low > flips:
-        both = [collisions(fps, 2 * prefix + b, bits + 1, flips) for b in (0, 1)]
+        both = [collisions(fps, 2 * prefix + b, bits + 1, radius) for b in (0, 1)]
         return np.concatenate([both[0][0], both[1][0]]), np.concatenate([both[0][1], both[1][1]])
     variants, owners = [], []
     keep = np.uint64((1 << low) - 1) if low < 64 else np.uint64(2**64 - 1)
@@ -104,12 +105,15 @@ def collisions(fps: np.ndarray, prefix: int, bits: int, flips: int) -> tuple[np.
     twice = twice[np.r_[True, twice[1:] != twice[:-1]]]
     inside = twice[np.minimum(np.searchsorted(twice, variants), len(twice) - 1)] == variants
     variants, owners = variants[inside], fps[owners[inside]]
-    order = np.lexsort((owners, variants))
-    variants, owners = variants[order], owners[order]
+    rim = np.bitwise_count(variants ^ owners) > radius // 2
+    order = np.lexsort((owners, rim, variants))
+    variants, owners, rim = variants[order], owners[order], rim[order]
     head = np.r_[True, variants[1:] != variants[:-1]]
-    least = owners[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]
-    pairs = np.unique(np.stack([owners[~head], least[~head]], 1), axis=0)
-    near = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 2 * flips
+    first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    linked = ~head & ~rim[first]
+    pairs = np.stack([owners[linked], owners[first][linked]], 1)
+    pairs = np.unique(np.stack([pairs.max(1, initial=0), pairs.min(1, initial=np.uint64(2**64 - 1))], 1), axis=0)
+    near = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius
     return pairs[near, 0], pairs[near, 1]
 
 
@@ -133,14 +137,14 @@ def forest(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(distinct: DataFrame, count: int, radius: int) -> DataFrame:
     """Links (high, low) that connect all of ``distinct`` (column fp) within ``radius`` bits."""
-    flips = radius // 2
+    flips = (radius + 1) // 2
     bits = max(2, min(24, math.ceil(math.log2(max(2, count) / TO_A_PREFIX))))
     prefix = F.shiftrightunsigned("fp", BITS - bits).cast("int")
     ways = F.array(*[F.lit(int(m)) for m in masks(bits, flips)])
     sent = distinct.select("fp", F.explode(F.transform(ways, lambda m: m.bitwiseXOR(prefix))).alias("prefix"))
 
     def collide(frame: pd.DataFrame) -> pd.DataFrame:
-        high, low = collisions(frame["fp"].to_numpy(np.int64).view(np.uint64), int(frame["prefix"].iloc[0]), bits, flips)
+        high, low = collisions(frame["fp"].to_numpy(np.int64).view(np.uint64), int(frame["prefix"].iloc[0]), bits, radius)
         if len(high):
             high, low = forest(high, low)
         return pd.DataFrame({"high": high.view(np.int64), "low": low.view(np.int64)})
@@ -155,8 +159,9 @@ def components(edges: DataFrame) -> DataFrame:
     until every component is one star.
     """
     edges = edges.select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).where("high <> low").distinct()
-    edges, before = materialize(edges, "cc"), None
+    edges, before, old = materialize(edges, "cc"), None, []
     while True:
+        free(*old)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)")).alias("h")).first()
         if not state["n"] or state == before:
             return edges
@@ -167,6 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "cc-large")
         lowest = large.groupBy("high").agg(F.min("low").alias("least"))
         others = large.join(lowest, "high").where("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+        old = [edges, large]
         edges = materialize(others.unionByName(lowest.select("high", F.col("least").alias("low"))).distinct(), "cc")
 
 
