@@ -59,18 +59,19 @@ def measure(text: str) -> tuple:
     words = data.split()  # at the six ASCII white-space bytes
     n = len(words)
     in_words = len(text) - (len(data) - sum(map(len, words)))
+    size = len if len(data) == len(text) else lambda part: len(part.decode("utf-8", "replace"))  # in characters
     lines = [line for line in data.split(b"\n") if line.strip()]
     seen: set[bytes] = set()
     doubled = 0
     for line in lines:
         if line in seen:
-            doubled += len(line)
+            doubled += size(line)
         seen.add(line)
     repeated, worst, fine = 0, 0.0, True
     if n >= 5:
         hashes = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
         hashes ^= hashes >> np.uint64(29)
-        lengths = np.fromiter(map(len, words), np.int64, n)
+        lengths = np.fromiter(map(size, words), np.int64, n)
         total = int(lengths.sum())
         rolled = hashes
         for k in range(2, max(MOST_COVERED) + 1):
@@ -87,7 +88,7 @@ def measure(text: str) -> tuple:
             share = int(lengths[inside].sum()) / total
             worst, fine = max(worst, share), fine and share <= MOST_COVERED[k]
     failed = n < BASE_LEAST_WORDS or 100 * repeated > BASE_MOST_REPEATED * n
-    in_lines = doubled / max(1, sum(map(len, lines)))
+    in_lines = doubled / max(1, sum(map(size, lines)))
     kept = not failed and fine and in_lines <= MOST_IN_LINES
     return n, in_words, sum(map(text.count, SYMBOLS)), len(lines) - len(seen), repeated, failed, in_lines, worst, kept
 
