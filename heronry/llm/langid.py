@@ -26,6 +26,8 @@ WINDOW = 64
 HIDDEN = 8
 #: Bound of the training sample: documents of each language, and windows of each document.
 SAMPLE_DOCS = 400
+#: Values of ``lang`` that are learned, the most frequent ones: a bound on the sample where the column is dirty.
+MOST_LANGUAGES = 256
 SAMPLE_WINDOWS = 8
 STEPS = 260
 BATCH = 160
@@ -165,7 +167,7 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     n_letters = np.bincount(owner, letters, len(texts))
     out = []
     for text, p, n in zip(texts, by_doc, n_letters):
-        if not n or (n == 0) or not any(map(str.isalpha, text or "")):
+        if not n or not any(map(str.isalpha, text or "")):
             out.append((UNKNOWN, 0.0))
         else:
             k = int(p.argmax())
@@ -178,14 +180,15 @@ def remainder(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7) -> Model:
-    """Train on at most ``sample_docs`` documents of each language that are not held out.
+    """Train on at most ``sample_docs`` documents of each of the ``MOST_LANGUAGES`` most frequent languages that are not held out.
 
     The sample is chosen by a hash of the id, so it does not depend on partitions or order, and
     of each document windows are taken from all over the text. Only they reach the driver.
     """
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     learn = learn.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != HELD_OUT))
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    common = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], [], [], [], np.zeros((0, 1), np.float32))

@@ -4,7 +4,7 @@ Byte-pair merges never cross a pre-token, so a text may be cut wherever a pre-to
 end; the ids of a cut are remembered, and a text is then a join of remembered byte strings.
 Cuts of plain Latin letters, digits and punctuation go straight to the library's model, past its
 general normaliser and splitter, which for them have a known outcome; all others go through
-the whole library. Ids are little-endian unsigned 32-bit bytes throughout: lengths and
+the whole library, as do whole texts that hold an added token such as an end mark. Ids are little-endian unsigned 32-bit bytes throughout: lengths and
 checksums need no Python integers.
 """
 
@@ -57,7 +57,9 @@ class TokenBytes(dict):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.marker = os.path.commonprefix(added)  # of all tokens that the library finds in a text before splitting it
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.model = self.tok.model
         self.words = "</w>" in (self.model.end_of_word_suffix or "")
         self.letters = byte_letters()
@@ -99,6 +101,9 @@ class TokenBytes(dict):
             kept = list(islice(self.items(), REMEMBERED // 2))
             self.clear()
             self.update(kept)
+        if self.added and self.marker in text and self.added.search(text):
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.__getitem__, self.cut(text)))
 
 
