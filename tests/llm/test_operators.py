@@ -408,26 +408,82 @@ def test_op7_suffix_array_and_common_prefixes():
                 assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def test_op8_families(spark):
-    model = licenses.train([f"ordinary line number {i} about herons" for i in range(300)])
-    cases = [(t, f) for f, v in licenses.TEMPLATES.items() for t in v]
-    notes = [f"some words here\n{t}" for t, _ in cases] + licenses.OTHERS + [None, "", "no notice at all\nlicense", "This work is licensed under the\n"]
+def brute_licences(model, text):
+    """Families (confirmed, unconfirmed) and the best probability of one text, paragraph by paragraph."""
+    parts = [p for p in re.split(r"\n[^\S\n]*\n\s*", text or "") if p.strip()]
+    units = [*parts, *(line for p in parts if "\n" in p for line in p.split("\n"))]
+    sure, confirmed, best = set(), set(), 0.0
+    for unit in units:
+        words = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", unit.lower())
+        pairs = {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}
+        z = np.array(model["bias"]) + sum((np.array(model["weights"][g]) for g in {*words, *pairs} if g in model["weights"]), np.zeros(len(model["bias"])))
+        p = np.exp((z - z.max()) / model["temperature"])
+        p /= p.sum()
+        family = model["classes"][int(p.argmax())]
+        if family == "unknown" or p.max() < 0.5:
+            continue
+        best = max(best, float(p.max()))
+        three = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+        shares = [(len(three & set(licenses.trigrams(t))), len(licenses.trigrams(t))) for t in licenses.TEMPLATES[family]]
+        (confirmed if any(2 * k >= n and k >= min(n, 4) for k, n in shares) else sure).add(family)
+    return len(parts), ",".join(sorted(confirmed)), ",".join(sorted(sure)), best
+
+
+LICENCES = licenses.TEMPLATES
+#: Openings and parts of public licences that no template holds, and texts with such words that are no notices.
+OPENINGS = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated\ndocumentation files (the \"Software\"), to deal in the Software without restriction, including the rights to use, copy,\nmodify, merge, publish, and to permit persons to whom the Software is furnished to do so, subject to these conditions:"),
+    ("gpl-3.0", "GNU General Public, version 3"),
+    ("gpl-3.0", "This file is licensed under the GNU General Public License, version 3, or any later version"),
+    ("apache-2.0", "Distributed under the Apache License, Version 2.0, see the file"),
+    ("mpl-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0"),
+]
+HARD = ["The dean said the licensed nurses work under the license office", "the software industry has grown", "a heron stands in public water", "Mit der Zeit kam er", *licenses.OTHERS]
+
+
+@pytest.fixture(scope="module")
+def licence_model():
+    return licenses.train([f"ordinary line number {i} about herons and the source of the river mit dem Boot" for i in range(300)])
+
+
+def test_op8_scores_every_paragraph(spark, texts, licence_model):
+    cases = [(t, f) for f, v in LICENCES.items() for t in v]
+    wrapped = [f"some words here\n\n{textwrap.fill(t, 72)}\n \nmore words" for t, _ in cases]
+    notes = [f"some words here\n{t}" for t, _ in cases] + wrapped + [t for _, t in OPENINGS] + HARD + [None, "", "no notice at all\nlicense", "This work is licensed under the\n", " \n\n\t\n", "x " * 40_000 + "\n" + cases[0][0], *texts]
     docs = table(spark, notes)
-    got = {r.doc_id: r for r in licenses.scan(docs, model).collect()}
-    assert len(got) == len(notes)
-    assert sum(got[i].families == f for i, (_, f) in enumerate(cases)) >= len(cases) - 1
-    assert not any(got[i].families for i in range(len(cases), len(notes)))
-    plan = licenses.scan(docs, model)._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r for r in licenses.scan(docs, licence_model).collect()}
+    for i, note in enumerate(notes):
+        n, confirmed, unconfirmed, best = brute_licences(licence_model, note)
+        assert (got[i].n_paragraphs, got[i].families, got[i].unconfirmed) == (n, confirmed, unconfirmed), note
+        assert got[i].best_probability == pytest.approx(best, abs=1e-5)
+    for k in range(len(wrapped)):
+        assert got[len(cases) + k].n_paragraphs == 3
+    right = [cases[i % len(cases)][1] in got[i].families.split(",") for i in range(2 * len(cases))]
+    assert sum(right) >= 0.9 * len(right)
+    for k, (family, _) in enumerate(OPENINGS):
+        r = got[2 * len(cases) + k]
+        assert family in [*r.families.split(","), *r.unconfirmed.split(",")], OPENINGS[k]
+    assert not any(got[2 * len(cases) + len(OPENINGS) + k].families for k in range(len(HARD)))
+    plan = licenses.scan(docs, licence_model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_op8_wrapped_notices(spark):
-    model = licenses.train([f"ordinary line number {i} about herons" for i in range(300)])
-    cases = [(t, f) for f, v in licenses.TEMPLATES.items() for t in v if len(t) > 72]
-    docs = table(spark, [f"some words here\n\n{textwrap.fill(t, 72)}\n \nmore words" for t, _ in cases])
-    got = {r.doc_id: r for r in licenses.scan(docs, model).collect()}
-    assert [got[i].families for i in range(len(cases))] == [f for _, f in cases]
-    assert all(r.n_paragraphs == 1 for r in got.values())
+def test_op8_short_templates_need_all_their_trigrams(licence_model):
+    assert brute_licences(licence_model, "The dean said the licensed nurses work under the MIT license office")[1] == ""
+    assert brute_licences(licence_model, "Released under the MIT License.")[1] == "mit"
+
+
+def test_op8_temperature_is_of_left_out_templates():
+    lines = [f"plain text {i} of ordinary things" for i in range(60)]
+    texts, labels, folds, classes = licenses.examples(lines, np.random.default_rng(1))
+    assert classes[-1] == "unknown" and set(folds) == {0, 1, 2}
+    for family, templates in LICENCES.items():
+        own = [set(folds[i] for i in np.flatnonzero(labels == classes.index(family)))]
+        assert own == [set(range(min(3, len(templates))))]
+    rng = np.random.default_rng(2)
+    x = licenses.Sparse(texts, {g: i for i, g in enumerate(sorted({g for t in texts for g in licenses.grams(t.lower().split())}))})
+    w, b, d = rng.normal(size=(x.size, 3)), rng.normal(size=3), rng.normal(size=(x.n, 3))
+    assert (x.scores(w, b) * d).sum() == pytest.approx((w * x.gradient(d)).sum() + (d.sum(0) * b).sum())  # the gradient is the transpose of the scores
 
 
 def test_op9_reads_back(spark, texts):
