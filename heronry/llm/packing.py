@@ -34,6 +34,8 @@ from heronry.llm.runtime import id_text, materialize
 BLOCK = 6000
 ISLANDS = 3
 EPOCHS = 2
+#: Islands that one task evolves, one after the other.
+TO_A_TASK = 12
 #: Of an epoch: the most generations, and those without gain that end it.
 GENERATIONS = 12
 PATIENCE = 5
@@ -219,9 +221,10 @@ def _round(pool: DataFrame, capacity: int, number: int, blocks: int) -> DataFram
                     yield pd.DataFrame({"block": [block], "island": [island], "sizes": [raw], "population": [[]]})
 
     state = grouped.select("block", F.col("items.length").alias("lengths")).mapInPandas(seed, ISLAND)
-    state = state.repartition("block", "island")
+    tasks = max(1, -(-blocks * ISLANDS // TO_A_TASK))  # a number that stays: islands are small in bytes but not in work
     for e in range(EPOCHS):
-        state = materialize(epoch(state if e == 0 else migrate(state), capacity, 100 * number + e), f"pack-islands-{number}-{e}")
+        state = (state if e == 0 else migrate(state)).repartition(tasks, "block", "island")
+        state = materialize(epoch(state, capacity, 100 * number + e), f"pack-islands-{number}-{e}")
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
