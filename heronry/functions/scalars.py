@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from heronry import config
 
 
+# Fixed values that results depend on: characters not allowed in a name, a full resource name, an id in a link.
+NOT_IN_NAMES = "[^a-zA-Z0-9_-]"
+RESOURCE = "^projects/[^/]+/locations/[^/]+/ragCorpora/[^/]+$"
+ID_IN_LINK = "/d/([a-zA-Z0-9-_]+)"
+
+
 def sanitize(name: Column) -> Column:
     """Each character outside letters, digits, ``_`` and ``-`` becomes one ``_``."""
-    return F.regexp_replace(name, "[^a-zA-Z0-9_-]", "_")
+    return F.regexp_replace(name, NOT_IN_NAMES, "_")
 
 
 def last_segment(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-RESOURCE = "^projects/[^/]+/locations/[^/]+/ragCorpora/[^/]+$"
-
-
 def is_resource_name(name: Column) -> Column:
     return name.rlike(RESOURCE)
 
@@ -30,7 +33,7 @@ def resource_name(prefix: str, corpus_id: Column) -> Column:
 
 def file_id(link: Column) -> Column:
     """The id in a document link, null where there is none."""
-    return F.nullif(F.regexp_extract(link, "/d/([a-zA-Z0-9-_]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(link, ID_IN_LINK, 1), F.lit(""))
 
 
 def truncate(content: Column, limit: int = config.CONTENT_LIMIT) -> Column:
@@ -52,7 +55,9 @@ def time_text(ts: Column) -> Column:
 
 
 def decode_utf8(content: Column) -> Column:
-    return F.decode(content, "UTF-8")
+    """Bytes as text, null where they are not UTF-8; missing bytes are an empty text."""
+    text = F.coalesce(content, F.lit(b"")).cast("string")
+    return F.when(F.is_valid_utf8(text), text)
 
 
 def tokens(text: Column) -> Column:

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.functions import scalars
@@ -31,8 +31,9 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def _paragraph(p: ET.Element) -> str:
-    kinds = {_W + "t": lambda e: e.text or "", _W + "tab": lambda e: "\t", _W + "br": lambda e: "\n"}
-    return "".join(kinds[e.tag](e) for e in p.iter() if e.tag in kinds)
+    """The text of a paragraph's runs; what formats it, such as its tab stops, is no text."""
+    kinds = {_W + "t": lambda e: e.text or "", _W + "tab": lambda e: "\t", _W + "br": lambda e: "\n", _W + "cr": lambda e: "\n", _W + "noBreakHyphen": lambda e: "-"}
+    return "".join(kinds[e.tag](e) for r in p.iter(_W + "r") for e in r if e.tag in kinds)
 
 
 def docx(data: bytes) -> str:
@@ -79,9 +80,30 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {i for i, x in enumerate(styles if styles is not None else ()) if dated(int(x.get("numFmtId", 0)))}
 
 
+# Cells that count as missing.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def _headers(found: list) -> list:
+    """Column names: one that was there before gets the next free number, a missing one its place."""
+    out, seen = [], {}
+    for c, name in enumerate(found):
+        name = f"Unnamed: {c}" if name is None or name == "" else name
+        shown, k = name, seen.get(name, 0)
+        while shown in seen:
+            k += 1
+            shown = f"{name}.{k}"
+        seen[name] = max(k, seen.get(name, 0))
+        seen.setdefault(shown, 0)
+        out.append(shown)
+    return out
+
+
 def xlsx(data: bytes) -> str:
     book = zipfile.ZipFile(io.BytesIO(data))
-    first = ET.fromstring(book.read("xl/workbook.xml")).find(f"{_S}sheets/{_S}sheet")
+    about = ET.fromstring(book.read("xl/workbook.xml"))
+    first, setting = about.find(f"{_S}sheets/{_S}sheet"), about.find(f"{_S}workbookPr")
+    epoch = pd.Timestamp("1904-01-01" if setting is not None and setting.get("date1904") in ("1", "true") else "1899-12-30")
     sheet = ET.fromstring(book.read(_relations(book, "xl/_rels/workbook.xml.rels", "xl")[first.get(_R + "id")]))
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
@@ -104,15 +126,16 @@ def xlsx(data: bytes) -> str:
             else:
                 found = float(value)
                 if int(cell.get("s", -1)) in dates:
-                    found = pd.Timestamp("1899-12-30") + pd.Timedelta(days=found)
+                    found = epoch + pd.Timedelta(days=found)
                 elif found.is_integer():
                     found = int(found)
             rows.setdefault(int(row.get("r", r + 1)), {})[_column(cell.get("r")) if cell.get("r") else c] = found
     if not rows:
         return ""
     lowest, width = min(rows), 1 + max(max(r) for r in rows.values())
-    head = [rows[lowest].get(c, f"Unnamed: {c}") for c in range(width)]
-    body = [[rows.get(r, {}).get(c) for c in range(width)] for r in range(lowest + 1, max(rows) + 1)]
+    head = _headers([rows[lowest].get(c) for c in range(width)])
+    there = lambda v: None if isinstance(v, str) and v in MISSING else v
+    body = [[there(rows.get(r, {}).get(c)) for c in range(width)] for r in range(lowest + 1, max(rows) + 1)]
     frame = pd.DataFrame({c: pd.Series([r[c] for r in body]).infer_objects() for c in range(width)})
     out = io.StringIO()
     csv.writer(out, lineterminator="\n").writerow(head)
@@ -120,50 +143,162 @@ def xlsx(data: bytes) -> str:
     return out.getvalue()
 
 
-def _pdf_streams(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    for m in re.finditer(rb"(\d+) \d+ obj(.*?)endobj", data, re.S):
-        body = m[2]
-        s = re.search(rb"stream\r?\n(.*?)\r?\nendstream", body, re.S)
-        if s:
-            raw = s[1]
-            if b"/FlateDecode" in body[: s.start()]:
-                raw = zlib.decompress(raw)
-            yield m[1], raw
-    return
-
-
 _PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _pdf_string(raw: bytes) -> str:
-    one = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPES.get(m[1], m[1])
-    return re.sub(rb"\\([0-7]{1,3}|.)", one, raw, flags=re.S).decode("latin-1")
+#: What a content stream is made of: strings, hexadecimal strings, names, numbers, brackets and operators.
+_pdf_tokens = re.compile(rb"\(((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*)\)|<([0-9A-Fa-f\s]*)>|/([^\s/<>\[\]()]*)|(-?\d*\.?\d+)|([\[\]])|([A-Za-z'\"*]+)", re.S)
+
+
+def _pdf_bytes(m: re.Match) -> bytes:
+    """The bytes of a string token."""
+    if m[2] is not None:
+        digits = re.sub(rb"\s", b"", m[2])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    one = lambda e: bytes([int(e[1], 8) & 255]) if e[1][:1].isdigit() else b"" if e[1] in (b"\n", b"\r\n") else _PDF_ESCAPES.get(e[1], e[1])
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", one, m[1], flags=re.S)
+
+
+class _Pdf:
+    """Objects of a PDF by number, those in object streams included; the last of a number counts."""
+
+    def __init__(self, data: bytes):
+        if not data.startswith(b"%PDF"):
+            raise ValueError("not a PDF")
+        self.objects: dict[int, bytes] = {}
+        self.streams: dict[int, bytes] = {}
+        for m in re.finditer(rb"(?:^|[\s>])(\d+)\s+\d+\s+obj\b(.*?)endobj", data, re.S):
+            number, body = int(m[1]), m[2]
+            s = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+            self.objects[number] = body[: s.start()] if s else body
+            if s:
+                self.streams[number] = s[1]
+        self.trailers = [*re.findall(rb"trailer(.*?)startxref", data, re.S), *(o for o in self.objects.values() if re.search(rb"/Type\s*/XRef\b", o))]
+        if any(b"/Encrypt" in t for t in self.trailers):
+            raise ValueError("an encrypted PDF")
+        for number, body in list(self.objects.items()):
+            if re.search(rb"/Type\s*/ObjStm\b", body):
+                inside, first = self.stream(number), self.number(body, b"First")
+                head = list(map(int, inside[:first].split()))
+                ends = [*head[3::2], len(inside) - first]
+                for k, at, end in zip(head[::2], head[1::2], ends):
+                    self.objects[k] = inside[first + at : first + end]
+
+    def number(self, body: bytes, name: bytes) -> int:
+        return int(re.search(rb"/" + name + rb"\s+(\d+)", body)[1])
+
+    def stream(self, number: int) -> bytes:
+        body, raw = self.objects.get(number, b""), self.streams.get(number, b"")
+        filters = re.search(rb"/Filter\s*(\[.*?\]|/\w+)", body, re.S)
+        for name in re.findall(rb"/(\w+)", filters[1]) if filters else []:
+            if name != b"FlateDecode":
+                raise ValueError(f"a PDF stream with {name.decode()}")
+            raw = zlib.decompress(raw)
+        return raw
+
+    def value(self, body: bytes, name: bytes) -> bytes:
+        """What a name stands for in a dictionary, with one reference followed; empty if it is not there."""
+        m = re.search(rb"/" + name + rb"\b\s*(?:(\d+)\s+\d+\s+R|(<<)|(\[[^\]]*\])|(/?[^\s/<>\[\]]+))", body)
+        if not m:
+            return b""
+        if m[1]:
+            return self.objects.get(int(m[1]), b"")
+        if m[2]:
+            depth, at = 0, m.start(2)
+            for e in re.finditer(rb"<<|>>", body[at:]):
+                depth += 1 if e[0] == b"<<" else -1
+                if not depth:
+                    return body[at : at + e.end()]
+        return m[3] or m[4] or b""
+
+    def pages(self) -> Iterator[tuple[bytes, bytes]]:
+        """Pages in order with the resources they have or inherit."""
+        root = next((m[1] for t in reversed(self.trailers) if (m := re.search(rb"/Root\s+(\d+)\s+\d+\s+R", t))), None)
+        catalog = self.objects.get(int(root), b"") if root else next((o for o in self.objects.values() if re.search(rb"/Type\s*/Catalog\b", o)), b"")
+        top = self.value(catalog, b"Pages")
+        if not top:
+            raise ValueError("a PDF without a page tree")
+        pending, seen = [(top, b"")], 0
+        while pending:
+            node, resources = pending.pop()
+            resources = self.value(node, b"Resources") or resources
+            seen += 1
+            if seen > len(self.objects) + 1:
+                raise ValueError("a page tree with a cycle")
+            if re.search(rb"/Kids\b", node):
+                kids = [self.objects.get(int(k), b"") for k in re.findall(rb"(\d+)\s+\d+\s+R", self.value(node, b"Kids"))]
+                pending += [(k, resources) for k in reversed(kids)]
+            else:
+                yield node, resources
+
+    def fonts(self, resources: bytes) -> dict[bytes, tuple[int, dict[int, str]]]:
+        """Of each font with a ToUnicode map the bytes of a code and the text of each code."""
+        out = {}
+        for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", self.value(resources, b"Font")):
+            font = self.objects.get(int(number), b"")
+            to = re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", font)
+            if to:
+                out[name] = self.unicode_map(self.stream(int(to[1])))
+            elif re.search(rb"/Subtype\s*/Type0\b", font):
+                raise ValueError("a composite PDF font without a map to Unicode")
+        return out
+
+    def unicode_map(self, cmap: bytes) -> tuple[int, dict[int, str]]:
+        text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+        space = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", cmap)
+        found: dict[int, str] = {}
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+            found |= {int(a, 16): text(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part)}
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+            for a, b, first, listed in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", part, re.S):
+                low, high = int(a, 16), min(int(b, 16), int(a, 16) + 0xFFFF)
+                several = re.findall(rb"<([0-9A-Fa-f]+)>", listed)
+                for k in range(low, high + 1):
+                    if first:
+                        base = text(first)
+                        found[k] = base[:-1] + chr(ord(base[-1]) + k - low)
+                    elif k - low < len(several):
+                        found[k] = text(several[k - low])
+        return (len(space[1]) // 2 if space else 1), found
+
+
+def _pdf_page(pdf: _Pdf, page: bytes, resources: bytes) -> str:
+    """The strings that a page shows, with a line feed where the text position moves to another line."""
+    contents = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+\s+\d+\s+R))", page, re.S)
+    numbers = [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", contents[1] or contents[2])] if contents else []
+    parts = [n for k in numbers for n in ([k] if k in pdf.streams else [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", pdf.objects.get(k, b""))])]
+    fonts, width, known = pdf.fonts(resources), 1, {}
+    lines, line, held = [], [], []
+
+    def shown(raw: bytes) -> str:
+        if not known:
+            return raw.decode("latin-1")
+        codes = [int.from_bytes(raw[i : i + width], "big") for i in range(0, len(raw), width)]
+        return "".join(known.get(c, chr(c) if width == 1 else "\ufffd") for c in codes)
+
+    for m in _pdf_tokens.finditer(b"\n".join(pdf.stream(k) for k in parts)):
+        operator = m[6]
+        if operator is None:
+            held.append(m)
+            continue
+        if operator == b"Tf":
+            names = [h[3] for h in held if h[3] is not None]
+            width, known = fonts.get(names[-1], (1, {})) if names else (1, {})
+        elif operator in (b"T*", b"Td", b"TD", b"ET", b"'", b'"') and line:
+            lines.append("".join(line))
+            line = []
+        if operator in (b"Tj", b"TJ", b"'", b'"'):
+            line += [shown(_pdf_bytes(h)) for h in held if h[1] is not None or h[2] is not None]
+        held = []
+    return "\n".join(lines + (["".join(line)] if line else []))
 
 
 def pdf(data: bytes) -> str:
-    """Text shown by the pages' content streams; simple fonts only. Pages without text are left out."""
-    if not data.startswith(b"%PDF"):
-        raise ValueError("not a PDF")
-    objects = {m[1]: m[2] for m in re.finditer(rb"(\d+) \d+ obj(.*?)endobj", data, re.S)}
-    streams = dict(_pdf_streams(data))
-    kids = next((re.findall(rb"(\d+) \d+ R", k[1]) for o in objects.values() if (k := re.search(rb"/Type\s*/Pages\b.*?/Kids\s*\[(.*?)\]|/Kids\s*\[(.*?)\]", o, re.S)) and k[1]), [])
-    order = kids or [k for k, o in objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", o)]
-    pages = []
-    for number in order:
-        contents = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+ \d+ R))", objects.get(number, b""), re.S)
-        found = re.findall(rb"(\d+) \d+ R", contents[1] or contents[2]) if contents else []
-        lines, line = [], []
-        for m in re.finditer(rb"\(((?:\\.|[^\\()])*)\)\s*(Tj|'|\")?|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(T\*|\bTd\b|\bTD\b|\bET\b)", b"\n".join(streams.get(k, b"") for k in found), re.S):
-            if m[4]:
-                if line:
-                    lines.append("".join(line))
-                    line = []
-            elif m[3] is not None:
-                line += [_pdf_string(s) for s in re.findall(rb"\(((?:\\.|[^\\()])*)\)", m[3], re.S)]
-            else:
-                line.append(_pdf_string(m[1]))
-        pages.append("\n".join(lines + (["".join(line)] if line else [])))
-    return "\n".join(p for p in pages if p)
+    """Text shown by the pages' content streams, in page order. Pages without text are left out.
+
+    What cannot be read without loss (encryption, other filters than Flate, composite fonts
+    without a map) is an error, so no text goes missing silently.
+    """
+    found = _Pdf(data)
+    return "\n".join(t for page, resources in found.pages() if (t := _pdf_page(found, page, resources)))
 
 
 PARSERS: dict[str, Callable[[bytes], str]] = {"pdf": pdf, "pptx": pptx, "docx": docx, "xlsx": xlsx}
@@ -172,8 +307,6 @@ PARSERS: dict[str, Callable[[bytes], str]] = {"pdf": pdf, "pptx": pptx, "docx":
 def parse_one(kind: str, data: bytes | None) -> tuple[str, str | None, str | None]:
     """(status, content, message): a file that cannot be read is an error row, never a failed job."""
     try:
-        if kind == "native":
-            return "success", (data or b"").decode("utf-8"), None
         return "success", PARSERS[kind](data or b""), None
     except Exception as e:  # noqa: BLE001  whatever a damaged file makes the parsers raise
         return "error", None, f"{type(e).__name__}: {e}"
@@ -185,15 +318,28 @@ def parse_files(files: DataFrame) -> DataFrame:
     message = F.concat(F.lit("Unsupported file type: "), F.coalesce("mime_type", F.lit("")))
     refused = kinds.where("kind = 'unsupported'").select("file_id", F.lit("error").alias("status"), F.col("name").alias("title"), F.lit(None).cast("string").alias("content"), message.alias("message"))
 
+    text = scalars.decode_utf8(F.col("content"))
+    native = kinds.where("kind = 'native'").select("file_id", F.when(text.isNull(), "error").otherwise("success").alias("status"), F.col("name").alias("title"), text.alias("content"), F.when(text.isNull(), "not UTF-8").alias("message"))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [parse_one(k, bytes(c) if c is not None else None) for k, c in zip(frame["kind"], frame["content"])]
             yield pd.DataFrame({"file_id": frame["file_id"], "status": [f[0] for f in found], "title": frame["name"], "content": [f[1] for f in found], "message": [f[2] for f in found]})
 
-    return kinds.where("kind <> 'unsupported'").mapInPandas(run, PARSED).unionByName(refused)
+    return kinds.where("kind not in ('unsupported', 'native')").mapInPandas(run, PARSED).unionByName(native).unionByName(refused)
+
+
+def read_folder(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+    """The files under a path as FILES: their path as id, their name, and a MIME type by suffix where ``types`` has it."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    suffix, mime = F.lower(F.element_at(F.split(name, r"\."), -1)), F.lit("")
+    for ending, kind in (types or {}).items():
+        mime = F.when(suffix == ending, kind).otherwise(mime)
+    return rows.select(F.col("path").alias("file_id"), name.alias("name"), mime.alias("mime_type"), "content")
 
 
-def document_content(files: DataFrame, link: str) -> DataFrame:
-    """The parsed file behind a link, its content cut to the limit; no row if the link has no id."""
-    wanted = files.where(F.col("file_id") == scalars.file_id(F.lit(link)))
-    return parse_files(wanted).withColumn("content", scalars.truncate(F.col("content")))
+def document_content(files: DataFrame, link: str, whole: bool = False) -> DataFrame:
+    """The parsed file behind a link, its content cut to the limit unless ``whole``; no row if the link has no id."""
+    parsed = parse_files(files.where(F.col("file_id") == scalars.file_id(F.lit(link))))
+    return parsed if whole else parsed.withColumn("content", scalars.truncate(F.col("content")))
