@@ -6,6 +6,7 @@ event of each resource. The log is as small as the number of corpora ever made.
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -76,6 +77,12 @@ class Catalog:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
+    def folders(self, path: str) -> list[str]:
+        """Names of the folders in a folder; none if it does not exist."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in fs.listStatus(target) if f.isDirectory()] if fs.exists(target) else []
+
     def events(self) -> DataFrame:
         if not self._exists(self.log):
             return self.spark.createDataFrame([], EVENTS)
@@ -86,7 +93,7 @@ class Catalog:
 
     def _append(self, resource: str, shown: str, event: str) -> None:
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        seq = self.events().count()
+        seq = time.time_ns()  # of two writers neither has to know the other's events
         self.spark.createDataFrame([(resource, shown, event, now, seq)], EVENTS).coalesce(1).write.mode("append").parquet(self.log)
 
     def create(self, name: str, session: Session) -> tuple[str, str]:
