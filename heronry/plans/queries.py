@@ -40,8 +40,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str, corpus: str | None = None) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
+    docs = docs if corpus is None else docs.where(F.col("lang") == corpus)
     return docs.select("doc_id", scalars.document_uri(F.col("source"), F.col("doc_id")).alias("uri"), "text")
 
 
@@ -49,8 +50,9 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _retrieved(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    docs = _documents(spark, sf_dir)
+def _retrieved(spark: SparkSession, sf_dir: str, threshold: float, corpus: str | None = None) -> DataFrame:
+    """Nearest chunks of every question, in all documents or in those of one corpus (a value of ``lang``)."""
+    docs = _documents(spark, sf_dir, corpus)
     found = retrieval.retrieve(_questions(spark, sf_dir), chunking.chunk_tokens(docs.select("doc_id", "text")), config.TOP_K, threshold)
     return found.join(docs.select("doc_id", "uri"), "doc_id").select("query_id", F.col("rn").cast("long").alias("rn"), "doc_id", "chunk_idx", "uri", "dist")
 
@@ -126,6 +128,7 @@ def _parsed(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retrieve_topk_default": lambda s, d: _retrieved(s, d, config.DISTANCE_THRESHOLD),
     "retrieve_topk_wide": lambda s, d: _retrieved(s, d, WIDE),
+    "retrieve_in_corpus": lambda s, d: _retrieved(s, d, WIDE, "fr"),
     "sources_distinct": _wide_sources,
     "document_search": _document_search,
     "dense_topk_default": lambda s, d: _dense(s, d, config.DISTANCE_THRESHOLD),
@@ -182,8 +185,8 @@ def _ranked(order: str, threshold: float) -> str:
 _BENCH = "(SELECT item_id AS query_id, text FROM benchmark)"
 
 
-def _retrieve_sql(threshold: float) -> str:
-    return f"WITH {_CHUNKS_SQL}, {_cosine('chunks', 'doc_id, uri, chunk_idx', _BENCH)}, {_ranked('doc_id, chunk_idx', threshold)}"
+def _retrieve_sql(threshold: float, documents: str = "documents") -> str:
+    return f"WITH {_CHUNKS_SQL.replace('FROM documents', 'FROM ' + documents)}, {_cosine('chunks', 'doc_id, uri, chunk_idx', _BENCH)}, {_ranked('doc_id, chunk_idx', threshold)}"
 
 
 _SOURCES_SQL = f"""{_retrieve_sql(WIDE)},
@@ -212,6 +215,7 @@ _FOLDERS_SQL = f"""WITH req AS (SELECT * FROM {_values(REQUESTED, 'ord, name')})
 ORACLE_SQL: dict[str, str] = {
     "retrieve_topk_default": f"{_retrieve_sql(config.DISTANCE_THRESHOLD)} SELECT query_id, rn, doc_id, chunk_idx, uri, dist FROM best",
     "retrieve_topk_wide": f"{_retrieve_sql(WIDE)} SELECT query_id, rn, doc_id, chunk_idx, uri, dist FROM best",
+    "retrieve_in_corpus": f"{_retrieve_sql(WIDE, "(SELECT * FROM documents WHERE lang = 'fr') AS documents")} SELECT query_id, rn, doc_id, chunk_idx, uri, dist FROM best",
     "sources_distinct": f"{_SOURCES_SQL} SELECT query_id, pos, uri, title FROM srcs",
     "document_search": f"{_SOURCES_SQL} SELECT query_id, count(*) AS n_sources, string_agg(uri, ' ' ORDER BY pos) AS uris FROM srcs GROUP BY query_id",
     "dense_topk_default": _dense_sql(config.DISTANCE_THRESHOLD),

@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -88,6 +89,85 @@ def test_damaged_and_unsupported_files_are_rows(spark):
     assert "text/html" in got["2"]["message"] and got["3"]["content"] == "é"
 
 
+def test_docx_tab_stops_are_no_text():
+    stop = '<w:pPr><w:tabs><w:tab w:val="left" w:pos="720"/></w:tabs></w:pPr>'
+    body = f"<w:p>{stop}</w:p><w:p>{stop}<w:r><w:t>x</w:t><w:tab/><w:t>y</w:t></w:r></w:p>"
+    assert parsers.docx(writers.docx(body)) == "x\ty"
+
+
+def test_xlsx_headers_and_missing_words():
+    t, n = writers.xlsx_text, lambda v: f't="n"><v>{v}</v>'
+    sheet = [[t("a"), t("a"), "", t("a.1")], [t("NA"), n(1), n(2), t("x")], [t("b"), n(3), n(4), t("null")]]
+    assert parsers.xlsx(writers.xlsx([sheet])) == "a,a.1,Unnamed: 2,a.1.1\n,1,2,x\nb,3,4,\n"
+
+
+def raw_pdf(objects, trailer=b"<< /Root 1 0 R >>"):
+    return b"%PDF-1.5\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (k, o) for k, o in objects.items()) + b"\ntrailer\n" + trailer + b"\nstartxref\n0\n%%EOF"
+
+
+def flate(data, extra=b""):
+    body = zlib.compress(data)
+    return b"<< /Filter /FlateDecode /Length %d %s >>\nstream\n%s\nendstream" % (len(body), extra, body)
+
+
+def test_pdf_page_trees_object_streams_and_maps():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <00E9> endbfchar 1 beginbfrange <0002> <0003> <0061> endbfrange"
+    inside = [(3, b"<< /Type /Pages /Kids [5 0 R] /Parent 2 0 R >>"), (4, b"<< /Type /Page /Contents 11 0 R >>"), (5, b"<< /Type /Page /Contents [12 0 R] >>")]
+    head, at = [], 0
+    for k, o in inside:
+        head.append(b"%d %d" % (k, at))
+        at += len(o) + 1
+    first = len(b" ".join(head)) + 1
+    packed = b" ".join(head) + b" " + b" ".join(o for _, o in inside)
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Kids [4 0 R 3 0 R] /Type /Pages /Resources << /Font << /F1 8 0 R /F2 9 0 R >> >> >>",
+        7: flate(packed, b"/Type /ObjStm /N 3 /First %d" % first),
+        8: b"<< /Type /Font /Subtype /Type1 >>",
+        9: b"<< /Type /Font /Subtype /Type0 /ToUnicode 10 0 R >>",
+        10: flate(cmap),
+        11: flate(b"BT /F1 12 Tf (one \\(1\\) \\351) Tj 0 -14 Td [(ni)-20(ne)] TJ ET"),
+        12: flate(b"BT /F2 9 Tf <000100020003> Tj ET"),
+    }
+    assert parsers.pdf(raw_pdf(objects)) == "one (1) é\nnine\néab"
+    for bad in (raw_pdf(objects, b"<< /Root 1 0 R /Encrypt 5 0 R >>"), raw_pdf({**objects, 9: b"<< /Subtype /Type0 >>"}), raw_pdf({**objects, 2: b"<< /Kids [2 0 R] >>"}), b"%PDF-1.4 nothing"):
+        assert parsers.parse_one("pdf", bad)[0] == "error"
+
+
+def test_files_of_a_folder_are_read(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.docx").write_bytes(writers.docx(writers.docx_paragraph("first")))
+    (tmp_path / "sub" / "b.gdoc").write_bytes("é".encode())
+    (tmp_path / "sub" / "c.gdoc").write_bytes(b"\xff\xfe")
+    files = parsers.read_folder(spark, str(tmp_path), {"gdoc": "application/vnd.google-apps.document"})
+    got = {r["title"]: (r["status"], r["content"]) for r in parsers.parse_files(files).collect()}
+    assert got == {"a.docx": ("success", "first"), "b.gdoc": ("success", "é"), "c.gdoc": ("error", None)}
+
+
+def test_importing_twice_changes_nothing(spark, tmp_path):
+    folder = spark.createDataFrame([("f1", "plans", "application/vnd.google-apps.folder", False)], "folder_id string, name string, mime_type string, trashed boolean")
+
+    def files(texts):
+        rows = [(i, f"{i}.docx", "", writers.docx(writers.docx_paragraph(t)), "f1") for i, t in texts]
+        return spark.createDataFrame(rows, "file_id string, name string, mime_type string, content binary, folder_id string")
+
+    e = Engine(spark, str(tmp_path), folder, files([("1", "the heron stands by the water"), ("2", "a table of numbers"), ("2", "a table of numbers")]))
+    e.create_corpus("c")
+    e.create_corpus("other")
+    ask = spark.createDataFrame([("q", "the heron by the water")], "query_id string, text string")
+    assert e.add_data(["plans"], "c")["n_files"] == 2 and e.session.current.endswith(e.catalog.find("other", e.session).rsplit("/", 1)[-1])
+    once = sorted(e.retrieve("c", ask, threshold=1.0).collect())
+    e.add_data(["plans"], "c")
+    assert sorted(e.retrieve("c", ask, threshold=1.0).collect()) == once and all(0 <= r["dist"] <= 1 for r in once)
+    plain = retrieval.retrieve(ask, e.chunks(e.catalog.find("c", e.session)).select("doc_id", "chunk_idx", scalars.tokens(F.col("chunk")).alias("words")), threshold=1.0)
+    assert [(r["uri"], r["dist"]) for r in once] == [(f"file:///d/{r['doc_id']}", r["dist"]) for r in plain.orderBy("rn").collect()]
+    e.files = files([("1", "entirely different words"), ("2", "a table of numbers")])
+    e.add_data(["plans"], "c")
+    assert e.retrieve("c", ask, threshold=1.0).count() == 0 and e.list_files("c").count() == 2
+    e.files = e.files.drop("content")
+    assert e.add_data(["plans"], "c")["status"] == "error" and e.get_document_content("https://x/d/1")["status"] == "error"
+
+
 def test_registry_folds_events(spark):
     rows = [("r1", "a", "create", "2024-01-01", 0), ("r2", "a", "create", "2024-01-02", 1), ("r1", "", "delete", "2024-01-03", 2)]
     events = spark.createDataFrame(rows, "resource_name string, display_name string, event string, t string, seq long").withColumn("at", F.col("t").cast("timestamp"))
