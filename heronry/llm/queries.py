@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from heronry.llm import bpe, langid, licenses, media_gif, orc_tokens, packing, repetition, simhash, suffix_dedup, toxicity
+from heronry.llm.oracles import ORACLE_SQL  # noqa: F401  where SQL can express the operator
 from heronry.llm.runtime import documents
 
 
@@ -66,5 +67,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_orc_token_ids": op9_orc_token_ids,
     "op10_toxicity_chain": op10_toxicity_chain,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -526,6 +527,20 @@ def test_op10_learns_words_and_chains(spark):
     assert {(r.p_toxic, r.toxic) for r in none} == {(0.0, False)}
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, small, texts, tmp_path, name):
+    """On the smallest tables, and on odd texts with null ids and repeated rows."""
+    table(spark, texts, IDS(len(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    for folder, files in ((small, f"{small}/documents.parquet"), (str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+        df = queries.QUERIES[name](spark, folder)
+        want = con.sql(queries.ORACLE_SQL[name])
+        assert dict(zip(want.columns, map(str, want.types))).keys() == set(df.columns)
+        columns = sorted(df.columns)
+        same_rows(collect(df.select(*columns)), want.select(*columns).fetchall())
+
+
 def test_empty_tables(spark, tmp_path):
     empty = table(spark, ["x"]).where("doc_id < 0")
     empty.write.parquet(str(tmp_path / "documents.parquet"))
