@@ -61,7 +61,7 @@ def run_direction(w: np.ndarray, u: np.ndarray, codes: np.ndarray, keep: bool =
     """States (T, H, N) of one pass over codes (T, N); with ``keep`` also what backpropagation needs."""
     steps, n = codes.shape
     h3, h = u.shape
-    state, out, saved = np.zeros((h, n), np.float32), np.empty((steps, h, n), np.float32), []
+    state, out, saved = np.zeros((h, n), w.dtype), np.empty((steps, h, n), w.dtype), []
     for t in range(steps):
         a = w.take(codes[t], axis=1)
         b = u @ state
@@ -92,6 +92,43 @@ def label_positions(model: Model, codes: np.ndarray) -> np.ndarray:
     return logits
 
 
+def gradients(p: dict[str, np.ndarray], codes: np.ndarray, want: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the positions of windows (T, N) with a byte, and its gradient, by backpropagation through time."""
+    t_max, n = codes.shape
+    h, kind = p["u0"].shape[1], p["u0"].dtype
+    grad = {k: np.zeros_like(x) for k, x in p.items()}
+    runs = [run_direction(p[f"w{d}"], p[f"u{d}"], codes[:: 1 - 2 * d], True) for d in (0, 1)]
+    states = [runs[0][0], runs[1][0][::-1]]
+    logits = sum(np.einsum("lh,thn->ltn", p[f"v{d}"], states[d]) for d in (0, 1)) + p["bias"][:, :, None]
+    logits -= logits.max(axis=0)
+    prob = np.exp(logits)
+    prob /= prob.sum(axis=0)
+    weight = (codes > 0).astype(kind)
+    weight /= max(1.0, float(weight.sum()))
+    loss = float(-(np.log(prob[want, :, np.arange(n)]).T * weight).sum())
+    prob[want, :, np.arange(n)] -= 1
+    delta = prob * weight
+    grad["bias"] += delta.sum(axis=(1, 2))[:, None]
+    for d in (0, 1):
+        grad[f"v{d}"] += np.einsum("ltn,thn->lh", delta, states[d])
+        into = np.einsum("lh,ltn->thn", p[f"v{d}"], delta)[:: 1 - 2 * d]
+        u, order = p[f"u{d}"], codes[:: 1 - 2 * d]
+        dh = np.zeros((h, n), kind)
+        gates = np.empty((t_max, 3 * h, n), kind)
+        for t in range(t_max - 1, -1, -1):
+            before, z, r, c, bc = runs[d][1][t]
+            dh = dh + into[t]
+            dc = dh * (1 - z) * (1 - c * c)
+            dz = dh * (before - c) * z * (1 - z)
+            dr = dc * bc * r * (1 - r)
+            gates[t] = np.concatenate([dz, dr, dc])
+            back = np.concatenate([dz, dr, dc * r])
+            grad[f"u{d}"] += back @ before.T
+            dh = dh * z + u.T @ back
+        np.add.at(grad[f"w{d}"].T, order.reshape(-1), gates.transpose(0, 2, 1).reshape(-1, 3 * h))
+    return loss, grad
+
+
 def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 7) -> Model:
     """Fit on windows (N, WINDOW) of bytes with a language index each, by Adam."""
     rng, h, n_lang = np.random.default_rng(seed), HIDDEN, len(languages)
@@ -102,37 +139,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     steps = STEPS if len(windows) else 0
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(windows), BATCH)
-        codes, want = np.ascontiguousarray(windows[pick].T), labels[pick]
-        t_max, n = codes.shape
-        grad = {k: np.zeros_like(x) for k, x in p.items()}
-        runs = [run_direction(p[f"w{d}"], p[f"u{d}"], codes[:: 1 - 2 * d], True) for d in (0, 1)]
-        states = [runs[0][0], runs[1][0][::-1]]
-        logits = sum(np.einsum("lh,thn->ltn", p[f"v{d}"], states[d]) for d in (0, 1)) + p["bias"][:, :, None]
-        logits -= logits.max(axis=0)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=0)
-        prob[want, :, np.arange(n)] -= 1
-        weight = (codes > 0).astype(np.float32)
-        delta = prob * (weight / max(1.0, float(weight.sum())))
-        grad["bias"] += delta.sum(axis=(1, 2))[:, None]
-        for d in (0, 1):
-            grad[f"v{d}"] += np.einsum("ltn,thn->lh", delta, states[d])
-            into = np.einsum("lh,ltn->thn", p[f"v{d}"], delta)[:: 1 - 2 * d]
-            u, order = p[f"u{d}"], codes[:: 1 - 2 * d]
-            dh = np.zeros((h, n), np.float32)
-            gates = np.empty((t_max, 3 * h, n), np.float32)
-            for t in range(t_max - 1, -1, -1):
-                before, z, r, c, bc = runs[d][1][t]
-                dh = dh + into[t]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before - c) * z * (1 - z)
-                dr = dc * bc * r * (1 - r)
-                gates[t] = np.concatenate([dz, dr, dc])
-                back = np.concatenate([dz, dr, dc * r])
-                grad[f"u{d}"] += back @ before.T
-                dh = dh * z + u.T @ back
-            flat = gates.transpose(0, 2, 1).reshape(-1, 3 * h)
-            np.add.at(grad[f"w{d}"].T, order.reshape(-1), flat)
+        _, grad = gradients(p, np.ascontiguousarray(windows[pick].T), labels[pick])
         size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         rate = RATE * (1 - 0.9 * step / STEPS)
         for k, g in grad.items():

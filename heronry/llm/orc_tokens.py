@@ -23,9 +23,19 @@ from pyspark.sql import functions as F
 from heronry.llm import tokens
 from heronry.llm.runtime import id_text, shared_path
 
+#: Input bytes of a file, where more files are wanted than shuffles have partitions, and the most files.
+FILE_BYTES = 128 << 20
+MOST_FILES = 1_000_000
 STORED = "part int, seq long, doc_id long, n_tokens long, ids array<int>"
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes of the tables that ``docs`` is read from, as far as the planner knows them."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)  # more stands for unknown
+
+
 def encode_parts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows in document order inside each range partition, with ids and place in the partition."""
 
@@ -50,7 +60,7 @@ def encode_parts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 )
                 seq += len(ids)
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_FILES, -(-input_bytes(docs) // FILE_BYTES)))
     rows = id_text(docs).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, STORED)

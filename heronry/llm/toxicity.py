@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from heronry.llm.runtime import id_text, materialize
 
-#: Bounds of what is learned from: labelled documents of each combination of labels, and words.
+#: The bound of what is learned from: labelled documents of each combination of labels.
 SAMPLE_EACH = 2500
-VOCABULARY = 20_000
+#: Words of fewer documents of the sample are not learned.
 LEAST_SEEN = 8
 #: Words enter the vocabulary when so many standard deviations off chance; most words of a text
 #: say nothing about it, and models that see them learn the sample by heart.
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
         return F.abs(F.col(c) - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
 
     far = counted.withColumn("off", F.greatest(off("q"), off("t"))).where(F.col("off") >= LEAST_OFF)
-    top = far.orderBy(F.col("off").desc(), "word").limit(VOCABULARY).select("word").collect()
+    top = far.select("word").collect()
     known = {bytes(r["word"]): i for i, r in enumerate(sorted(top))}
     coder = Chain(known, [])
 
