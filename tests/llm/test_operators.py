@@ -7,10 +7,12 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -287,13 +289,54 @@ def test_op5_edges(spark, texts):
     assert [x[0] for x in langid.labelled(model, [None, "", "12 34 !"])] == ["und"] * 3
 
 
-def test_op5_gradient():
-    """One step of training lowers the loss along its own direction (backpropagation agrees with differences)."""
+def tiny_network(rng, hidden=3, languages=2):
+    shapes = {f"{k}{d}": x for d in (0, 1) for k, x in (("w", (3 * hidden, 256)), ("u", (3 * hidden, hidden)), ("v", (languages, hidden)))}
+    return {k: rng.standard_normal(x) * 0.5 for k, x in shapes.items()} | {"bias": rng.standard_normal((languages, 1))}
+
+
+def test_op5_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(0)
+    codes = rng.integers(97, 101, (6, 4))
+    codes[4:, 1] = 0  # past the end of a text
+    want, p = np.array([0, 1, 1, 0]), tiny_network(rng)
+    _, grad = langid.gradients(p, codes, want)
+    for name in p:
+        places = [(x, y) for x in range(p[name].shape[0]) for y in (range(96, 102) if name[0] == "w" else range(p[name].shape[1]))]
+        for at in places:
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = {k: v.copy() for k, v in p.items()}
+                moved[name][at] += step
+                sides.append(langid.gradients(moved, codes, want)[0])
+            assert grad[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-7), (name, at)
+
+
+def test_op5_positions_by_plain_arithmetic():
+    rng = np.random.default_rng(1)
+    p = tiny_network(rng)
+    model = langid.Model(["a", "b"], [p["w0"], p["w1"]], [p["u0"], p["u1"]], [p["v0"], p["v1"]], p["bias"])
+    codes = rng.integers(0, 256, 7)
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    states = []
+    for d in (0, 1):
+        h, out = np.zeros(3), []
+        for byte in codes[:: 1 - 2 * d]:
+            a, b = p[f"w{d}"][:, byte], p[f"u{d}"] @ h
+            z, r = squash(a[:3] + b[:3]), squash(a[3:6] + b[3:6])
+            h = z * h + (1 - z) * np.tanh(a[6:] + r * b[6:])
+            out.append(h)
+        states.append(out[:: 1 - 2 * d])
+    got = langid.label_positions(model, codes[:, None])
+    for t in range(7):
+        logits = p["v0"] @ states[0][t] + p["v1"] @ states[1][t] + p["bias"][:, 0]
+        assert got[:, t, 0] == pytest.approx(np.exp(logits) / np.exp(logits).sum())
+
+
+def test_op5_learns_two_alphabets():
     rng = np.random.default_rng(0)
     windows = rng.integers(97, 123, (40, langid.WINDOW)).astype(np.uint8)
     windows[20:] = rng.integers(65, 91, (20, langid.WINDOW))
-    labels = np.repeat([0, 1], 20)
-    model = langid.train(windows, labels, ["low", "up"])
+    model = langid.train(windows, np.repeat([0, 1], 20), ["low", "up"])
     assert [langid.predict(model, [w.tobytes().decode()])[0][0] for w in windows] == ["low"] * 20 + ["up"] * 20
 
 
@@ -511,6 +554,48 @@ def test_op9_filter_reaches_the_files(spark, texts, tmp_path):
     assert "EqualTo(doc_id,3)" in found._jdf.queryExecution().toString() and found.count() == 1
 
 
+def test_op9_files_have_indexes_and_run_lengths(spark, tmp_path):
+    docs = spark.range(0, 6000, 1, 4).selectExpr("id as doc_id", "repeat('the ', int(id % 50) + 50) as text")
+    path = str(tmp_path / "ids")
+    orc_tokens.write_ids(docs, path, P.path("byte_bpe_50k.json"), 2, row_index_stride=1000, stripe_bytes=1 << 16)
+    files = sorted(Path(path).glob("*.orc"))
+    rows, stripes = [], 0
+    for f in files:
+        orc = pyarrow.orc.ORCFile(str(f))
+        stripes += orc.nstripes
+        assert orc.row_index_stride == 1000 and orc.compression == "ZSTD"
+        found = [orc.read_stripe(k).to_pylist() for k in range(orc.nstripes)] if hasattr(orc.read_stripe(0), "to_pylist") else []
+        rows += [r for part in found for r in part]
+        assert f.stat().st_size < 4 * sum(len(r["ids"]) for part in found for r in part) / 20  # runs of one id
+    assert stripes >= len(files) and sorted(r["doc_id"] for r in rows) == list(range(6000))
+    for r in rows[::500]:
+        assert r["ids"] == [*library_ids("byte_bpe_50k.json", "the " * (r["doc_id"] % 50 + 50)), 2]
+
+
+def test_op10_chain_by_plain_arithmetic():
+    rng = np.random.default_rng(4)
+    known = {w.encode(): i for i, w in enumerate("abcdefghij")}
+    texts = [" ".join(rng.choice(list("abcdefghijxyz"), rng.integers(0, 12))) for _ in range(90)]
+    labels = np.stack([["a" in t.split() for t in texts], ["b" in t.split() or "a" in t.split() and "c" in t.split() for t in texts]], 1).astype(int)
+    fold, rows = np.arange(90) % toxicity.FOLDS, toxicity.Chain(known, []).rows(texts)
+    chain = toxicity.train_chain(known, rows, labels, fold)
+    squash, odds = lambda z: 1 / (1 + np.exp(-z)), lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))) / 4
+    got = chain.predict(rows)
+    for i, t in enumerate(texts):
+        out = []
+        for w, u, b in chain.links:
+            z = b + sum(w[known[x.encode()]] for x in set(t.split()) if x.encode() in known) + sum(odds(p) * k for p, k in zip(out, u))
+            out.append(squash(z))
+        assert [g[i] for g in got] == pytest.approx(out)
+    # the second link learns from what models that had not seen a row say of it
+    outside = np.zeros(90)
+    for f in range(toxicity.FOLDS):
+        w, _, b = toxicity.logistic(rows.take(fold != f), np.zeros(((fold != f).sum(), 0)), labels[fold != f, 0].astype(float), len(known))
+        outside[fold == f] = squash(rows.take(fold == f).scores(w) + b)
+    w, u, b = toxicity.logistic(rows, odds(outside)[:, None], labels[:, 1].astype(float), len(known))
+    assert chain.links[1][0] == pytest.approx(w) and chain.links[1][1] == pytest.approx(u)
+
+
 def test_op10_learns_words_and_chains(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(60)) for _ in range(400)]
