@@ -26,6 +26,11 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _plain = re.compile(f"[\n -~{_LETTERS}]+").fullmatch
 _words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+").findall
 _bytes = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+").findall
+#: Most pieces: a word, and marks after it other than apostrophes, told on bytes (two of them for a letter of Latin-1).
+_MARKS = rb"[!-&(-/:-@\[-`{-~]+"
+_word_and_marks = re.compile(rb"([A-Za-z]+)(" + _MARKS + rb")?").fullmatch
+_blank_word_and_marks = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(" + _MARKS + rb")?").fullmatch
+_packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _spaced = re.compile(r"\s\s|[^\S \n]|\x01").search
 #: Control bytes, and the first bytes of all characters beyond ASCII that are white space.
 _DOUBTFUL = bytes([*range(10), *range(11, 32), 0xC2, 0xE1, 0xE2, 0xE3])
@@ -63,17 +68,24 @@ class TokenBytes(dict):
         self.model = self.tok.model
         self.words = "</w>" in (self.model.end_of_word_suffix or "")
         self.letters = byte_letters()
+        self.quick = _word_and_marks if self.words else _blank_word_and_marks
+
+    def _word(self, letters: bytes) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters.decode("latin-1").translate(self.letters))]
+        return _packers[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, piece: bytes) -> bytes:
+        quick = self.quick(piece)
+        if quick:
+            word, marks = quick.groups()
+            return self[word] + self[marks] if marks else self._word(word.lower() if self.words else word)
         text = piece.decode("utf-8", "replace")
         if not _plain(text):
             ids = self.tok.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         parts = _words(text.lower()) if self.words else _bytes(text)
         if len(parts) == 1:
-            seen = parts[0].encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(seen)]
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return self._word(parts[0].encode())
         return b"".join([self[p.encode()] for p in parts])
 
     def __missing__(self, piece: bytes) -> bytes:
