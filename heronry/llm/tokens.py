@@ -27,9 +27,8 @@ _plain = re.compile(f"[\n -~{_LETTERS}]+").fullmatch
 _words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+").findall
 _bytes = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+").findall
 #: Most pieces: a word, and marks after it other than apostrophes, told on bytes (two of them for a letter of Latin-1).
-_MARKS = rb"[!-&(-/:-@\[-`{-~]+"
-_word_and_marks = re.compile(rb"([A-Za-z]+)(" + _MARKS + rb")?").fullmatch
-_blank_word_and_marks = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(" + _MARKS + rb")?").fullmatch
+_MARKS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+_accented_and_marks = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)?").fullmatch
 _packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _spaced = re.compile(r"\s\s|[^\S \n]|\x01").search
 #: Control bytes, and the first bytes of all characters beyond ASCII that are white space.
@@ -65,20 +64,31 @@ class TokenBytes(dict):
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.marker = os.path.commonprefix(added)  # of all tokens that the library finds in a text before splitting it
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
-        self.model = self.tok.model
-        self.words = "</w>" in (self.model.end_of_word_suffix or "")
+        self.tokenize = self.tok.model.tokenize
+        self.words = "</w>" in (self.tok.model.end_of_word_suffix or "")
         self.letters = byte_letters()
-        self.quick = _word_and_marks if self.words else _blank_word_and_marks
+        self.blank = self.letters[ord(" ")]
 
-    def _word(self, letters: bytes) -> bytes:
-        ids = [t.id for t in self.model.tokenize(letters.decode("latin-1").translate(self.letters))]
+    def _packed(self, letters: str) -> bytes:
+        ids = [t.id for t in self.tokenize(letters)]
         return _packers[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, letters: bytes) -> bytes:
+        return self._packed(letters.decode("latin-1").translate(self.letters))
+
     def _ids(self, piece: bytes) -> bytes:
-        quick = self.quick(piece)
+        core = piece.rstrip(_MARKS)
+        bare = core[1:] if core[:1] == b" " else core
+        if bare.isalpha():  # of bytes: A-Z and a-z alone
+            if len(core) < len(piece):
+                return self[core] + self[piece[len(core) :]]
+            if self.words:
+                return self._packed(bare.lower().decode())
+            return self._packed(bare.decode() if bare is core else self.blank + bare.decode())
+        quick = None if self.words else _accented_and_marks(piece)
         if quick:
             word, marks = quick.groups()
-            return self[word] + self[marks] if marks else self._word(word.lower() if self.words else word)
+            return self[word] + self[marks] if marks else self._word(word)
         text = piece.decode("utf-8", "replace")
         if not _plain(text):
             ids = self.tok.encode(text, add_special_tokens=False).ids
