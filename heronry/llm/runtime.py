@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key that holds more than one in so many rows is joined without a shuffle.
+HOT_SHARE = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -62,6 +65,22 @@ def free(*tables: DataFrame | None) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def hot(keys: DataFrame, held: str, total: int) -> DataFrame:
+    """The keys that hold more than a thousandth of ``total`` rows, so fewer than a thousand."""
+    return keys.where(F.col(held) * HOT_SHARE > F.lit(total))
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], frequent: DataFrame) -> DataFrame:
+    """Inner join of ``many`` to ``one`` in which no frequent key is gathered in a task.
+
+    Rows of ``many`` with a key of ``frequent`` (see ``hot``) stay where they are and meet a
+    broadcast of at most a thousand keys' rows of ``one``; only the others are shuffled.
+    """
+    frequent = F.broadcast(frequent.select(*keys))
+    here = many.join(F.broadcast(one.join(frequent, keys, "left_semi")), keys)
+    return here.unionByName(many.join(frequent, keys, "left_anti").join(one.join(frequent, keys, "left_anti"), keys))
+
+
 def key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
     """Rows sorted by their first column as tables that never part equal keys, with the starts of the keys.
 

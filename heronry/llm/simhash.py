@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.runtime import free, id_text, materialize
+from heronry.llm.runtime import free, hot, id_text, join_hot, materialize
 
 BITS = 64
 SEED = 42
@@ -156,7 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Every node of some edges (high, low) with the least node it can reach, itself excepted.
 
     Alternating large and small stars: each round links neighbours to the least one among them,
-    until every component is one star.
+    until every component is one star. A node with very many neighbours is joined without a shuffle.
     """
     edges = edges.select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).where("high <> low").distinct()
     edges, before, old = materialize(edges, "cc"), None, []
@@ -167,29 +167,36 @@ def components(edges: DataFrame) -> DataFrame:
             return edges
         before = state
         around = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
-        least = around.groupBy("high").agg(F.min("low").alias("least")).select(F.col("high").alias("node"), F.least("high", "least").alias("least"))
-        large = around.join(least, around.high == least.node).where("low > high").select(F.col("low").alias("high"), F.col("least").alias("low")).where("high <> low").distinct()
+        least = around.groupBy("high").agg(F.least("high", F.min("low")).alias("least"), F.count("*").alias("held"))
+        least = materialize(least, "cc-least")
+        large = join_hot(around.where("low > high"), least, ["high"], hot(least, "held", 2 * state["n"]))
+        large = large.select(F.col("low").alias("high"), F.col("least").alias("low")).where("high <> low").distinct()
         large = materialize(large, "cc-large")
-        lowest = large.groupBy("high").agg(F.min("low").alias("least"))
-        others = large.join(lowest, "high").where("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
-        old = [edges, large]
+        lowest = materialize(large.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("held")), "cc-lowest")
+        others = join_hot(large, lowest, ["high"], hot(lowest, "held", state["n"])).where("low <> least")
+        others = others.select(F.col("low").alias("high"), F.col("least").alias("low"))
+        old = [edges, large, least, lowest]
         edges = materialize(others.unionByName(lowest.select("high", F.col("least").alias("low"))).distinct(), "cc")
 
 
 def clusters(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
     marked = materialize(fingerprints(docs, shingle), "simhash")
-    return marked.join(named(marked, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = named(marked, radius)
+    found = join_hot(marked, names, ["fp"], hot(names, "held", marked.count()))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def named(marked: DataFrame, radius: int, name: str = "doc_id") -> DataFrame:
-    """fp and component_id, the least ``name`` of all documents whose fingerprint is reachable."""
-    distinct = materialize(marked.groupBy("fp").agg(F.min(name).alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), distinct.count(), radius))
-    member = distinct.join(roots, distinct.fp == roots.high, "left").select("fp", "least", F.coalesce("low", "fp").alias("root"))
+    """fp, component_id (the least ``name`` of all documents whose fingerprint is reachable) and held (rows of this fp)."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min(name).alias("least"), F.count("*").alias("held")), "simhash-distinct")
+    count = distinct.count()
+    roots = components(links(distinct.select("fp"), count, radius))
+    member = distinct.join(roots, distinct.fp == roots.high, "left").select("fp", "least", "held", F.coalesce("low", "fp").alias("root"))
     member = materialize(member, "simhash-roots")
-    best = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(member.join(best, "root").select("fp", "component_id"), "simhash-named")
+    best = materialize(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("kinds")), "simhash-best")
+    found = join_hot(member, best, ["root"], hot(best, "kinds", count)).select("fp", "component_id", "held")
+    return materialize(found, "simhash-named")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:

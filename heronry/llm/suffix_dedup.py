@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.runtime import free, id_text, key_runs, materialize
+from heronry.llm.runtime import free, hot, id_text, join_hot, key_runs, materialize
 
 LENGTH = 400
 #: Nearly all passages of over 50 words have so many bytes: of 5,800 shared runs of over 50 words
@@ -386,11 +386,12 @@ def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int =
     kinds = materialize(places.groupBy("gram", "context").agg(F.count("*").alias("weight"), *one), "sa-contexts")
     twice = kinds.groupBy("gram").agg(F.sum("weight").alias("seen"), F.count("*").alias("kinds")).where("seen > 1").select("gram", "kinds")
     twice = materialize(twice, "sa-twice")
-    shards = max(1, round((twice.agg(F.sum("kinds")).first()[0] or 0) / shard))
+    contexts = twice.agg(F.sum("kinds")).first()[0] or 0
+    shards = max(1, round(contexts / shard))
     salts = F.ceil(F.col("kinds") / F.lit(most))
     divided = F.col("kinds") > most
     name = F.when(divided, F.xxhash64("gram", F.pmod(F.xxhash64("context"), salts))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    dealt = kinds.join(twice, "gram").select("gram", "context", "weight", "doc_key", "text_hash", "lo", "n", divided.alias("divided"), name.alias("shard"))
+    dealt = join_hot(kinds, twice, ["gram"], hot(twice, "kinds", contexts)).select("gram", "context", "weight", "doc_key", "text_hash", "lo", "n", divided.alias("divided"), name.alias("shard"))
     item = F.struct("gram", "context", "weight", "divided", "shard", "lo", "n")
     wanted = dealt.groupBy("doc_key", "text_hash").agg(F.collect_list(item).alias("wanted"))
     # of repeated rows one is read: the others hold the same bytes
@@ -404,7 +405,8 @@ def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int =
     if split.limit(1).count():
         across = materialize(_across_shards(found, split), "sa-across")
         ranges = ranges.unionByName(across)
-    back = places.join(ranges, ["gram", "context"])
+    # a context has at most ``window`` runs of each length, so those of frequent contexts are a small broadcast
+    back = join_hot(places, ranges, ["gram", "context"], hot(kinds, "weight", places.count()))
     span = F.struct("length", (F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + F.col("length")).alias("end"))
     spans = materialize(back.groupBy("doc_key", "text_hash").agg(F.collect_set(span).alias("spans")), "sa-spans")
     free(places, kinds, twice, found, across)

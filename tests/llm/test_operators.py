@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from heronry.llm import bpe, langid, licenses, media_gif, near_copies, orc_tokens, packing, queries, repetition, simhash, suffix_dedup, tokens, toxicity
+from heronry.llm import bpe, langid, licenses, media_gif, near_copies, orc_tokens, packing, queries, repetition, runtime, simhash, suffix_dedup, tokens, toxicity
 from heronry.llm.runtime import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, piece string, fp string, block int, uid string, spans string"
@@ -721,3 +721,13 @@ def test_pipeline_odd_rows(spark):
             assert docs.columns == columns
             docs = materialize(stage(spark, docs, ""), f"test-odd-{name}")
         assert "sequence_id" in docs.columns
+
+def test_frequent_keys_are_not_gathered(spark):
+    """Joins past a broadcast for frequent keys: the same rows as a plain join, whichever keys are frequent."""
+    many = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(5000)] + [(9, -1)], "key long, row long")
+    one = many.groupBy("key").agg(F.count("*").alias("held"), F.min("row").alias("least")).where("key <> 5")
+    want = sorted(map(tuple, many.join(one, "key").collect()))
+    for total in (0, 10, 2_000_000, 10**9):  # all, most, one and no key frequent
+        got = runtime.join_hot(many, one, ["key"], runtime.hot(one, "held", total))
+        assert got.columns == ["key", "row", "held", "least"]
+        assert sorted(map(tuple, got.collect())) == want
