@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heronry.llm import repetition, suffix_dedup
+from heronry.llm import fill_in_middle, prefix_trie, repetition, suffix_dedup
 
 _BLANK = r"\x20\x09-\x0D"
 _DOCS = "docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents)"
@@ -58,4 +58,47 @@ def suffix_array(length: int = suffix_dedup.LENGTH, passage: int = suffix_dedup.
   FROM raw LEFT JOIN sums{length} AS s USING (rid) LEFT JOIN sums{passage} AS q USING (rid) LEFT JOIN pieces USING (rid)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_repetition_rules": repetition_rules(), "op7_suffix_array": suffix_array()}
+def crc32(text: str) -> str:
+    """CRC-32 of a text's bytes: each byte is put in, then eight bits are shifted out."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda d: [CAST(ascii(d) AS BIGINT)] || list_transform(range(8), lambda z: -1::BIGINT)))"
+    step = "lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), {step}), 4294967295::BIGINT)"
+
+
+def fill_in_middle_forms() -> str:
+    """Units as a list, cut at the two ranks."""
+    unit = f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+"
+    draw = ", ".join(f"CAST('0x' || substring(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    p, s, m = fill_in_middle.PREFIX, fill_in_middle.SUFFIX, fill_in_middle.MIDDLE
+    plain = f"t = '' OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}') OR h3 % 100 >= {fill_in_middle.PLAIN_PERCENT}"
+    return f"""WITH {_DOCS},
+  drawn AS (SELECT *, {draw} FROM (SELECT *, sha256('{fill_in_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(t, '{unit}') AS u FROM docs)),
+  formed AS (SELECT *, len(u) AS n, CASE WHEN {plain} THEN 'plain' WHEN h4 % 100 < {fill_in_middle.SUFFIX_FIRST_PERCENT} THEN 'spm' ELSE 'psm' END AS form, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM drawn),
+  parts AS (SELECT doc_id, t, n, form, CASE WHEN form <> 'plain' THEN array_to_string(u[1:a], '') END AS pre, CASE WHEN form <> 'plain' THEN array_to_string(u[a + 1:b], '') END AS mid, CASE WHEN form <> 'plain' THEN array_to_string(u[b + 1:], '') END AS suf FROM formed)
+  SELECT doc_id, n, form, length(pre) AS prefix_chars, length(mid) AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || pre || '{s}' || suf || '{m}' || mid ELSE '{s}' || suf || '{p}' || pre || '{m}' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
+
+
+def conversation_trie() -> str:
+    """Every prefix of every rebuilt conversation; sums over subtrees by handing each node to all prefixes of its own."""
+    f, h = prefix_trie.FAMILY, crc32("CAST(a.conv_id AS VARCHAR)")
+    return f"""WITH turns AS (SELECT conv_id, turn, md5(length(r) || ':' || r || t) AS k, len(regexp_extract_all(t, '[^{_BLANK}]+')) AS w FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+  own AS (SELECT conv_id, list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, k) AS p FROM turns GROUP BY conv_id),
+  heads AS (SELECT a.conv_id, a.p, b.p AS head, CAST({h} % {prefix_trie.HEADS} AS BIGINT) AS h FROM own AS a LEFT JOIN own AS b ON b.conv_id = a.conv_id - a.conv_id % {f}),
+  built AS (SELECT conv_id, list_concat(CASE WHEN head IS NULL THEN [] ELSE head[1:h] END, p[h + 1:]) AS p FROM heads),
+  depths AS (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS depth FROM built),
+  named AS (SELECT conv_id, depth, len(p) = depth AS ended, md5(array_to_string(list_transform(p[1:depth], lambda x: x.k), '')) AS node, CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(p[1:depth - 1], lambda x: x.k), '')) END AS above, CASE WHEN depth > 0 THEN p[depth].w ELSE 0 END AS w,
+    list_transform(range(0, depth + 1), lambda d: md5(array_to_string(list_transform(p[1:d], lambda x: x.k), ''))) AS ups FROM depths),
+  nodes AS (SELECT node, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, arg_min(ups, conv_id) AS ups, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM named GROUP BY node, depth),
+  kids AS (SELECT above AS node, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+  full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+  sums AS (SELECT up AS node, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens FROM (SELECT n_children, n_convs, w, unnest(ups) AS up FROM full_nodes) GROUP BY up)
+  SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256 FROM full_nodes AS x JOIN sums ON sums.node = x.node LEFT JOIN nodes AS y ON y.node = x.above"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_repetition_rules": repetition_rules(),
+    "op7_suffix_array": suffix_array(),
+    "op12_prefix_trie": conversation_trie(),
+    "op13_fill_in_middle": fill_in_middle_forms(),
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import bpe, langid, licenses, media_gif, orc_tokens, packing, repetition, simhash, suffix_dedup, toxicity
+from heronry.llm import bpe, fill_in_middle, langid, licenses, media_gif, orc_tokens, packing, prefix_trie, repetition, simhash, suffix_dedup, toxicity
 from heronry.llm.oracles import ORACLE_SQL  # noqa: F401  where SQL can express the operator
 from heronry.llm.runtime import documents
 
@@ -55,6 +55,14 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_gif_media": op2_gif_media,
@@ -66,4 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_orc_token_ids": op9_orc_token_ids,
     "op10_toxicity_chain": op10_toxicity_chain,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
