@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heronry.llm import bpe, fill_in_middle, langid, licenses, media_gif, orc_tokens, packing, prefix_trie, repetition, simhash, suffix_dedup, toxicity
+from heronry.llm import bpe, fill_in_middle, langid, licenses, lm_scoring, media_gif, orc_tokens, packing, prefix_trie, repetition, simhash, suffix_dedup, toxicity
 from heronry.llm.oracles import ORACLE_SQL  # noqa: F401  where SQL can express the operator
 from heronry.llm.runtime import documents
 
@@ -55,6 +56,11 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return lm_scoring.scores(documents(spark, sf_dir), fold == 1)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_orc_token_ids": op9_orc_token_ids,
     "op10_toxicity_chain": op10_toxicity_chain,
+    "op11_elias_fano_lm": op11_elias_fano_lm,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
