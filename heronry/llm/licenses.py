@@ -6,8 +6,10 @@ paragraph, is scored by a sparse logistic regression on word unigrams and bigram
 *unknown* class. Every bigram that the model knows holds a word that it knows, so a paragraph
 without known words has the model's bias for its score and is unknown: none needs to be left
 out, and only the others need n-grams. Probabilities are calibrated by a temperature set on
-templates and corpus lines that the weights were not fitted on. A predicted family is confirmed
-when enough of one of its templates' word trigrams stand in the paragraph or line.
+templates and corpus lines that the weights were not fitted on, by models finished as the one in
+use is. A predicted family is confirmed when enough of one of its templates' word trigrams stand in
+the paragraph or line, and where a template of another family differs by a few words, when it has
+all words that this one alone has and none that only the other has.
 
 The scan is a narrow projection of built-in functions: no Python on executors, no shuffle. The
 model is trained on the driver from the templates and a bounded sample of the corpus's lines.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -44,6 +47,7 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Distributed under the terms of the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
@@ -64,6 +68,11 @@ TEMPLATES = {
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
+    "agpl-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
@@ -123,13 +132,10 @@ OTHERS = [
     "The old maps are kept in the library.",
 ]
 
-#: Words too common to hint at a licence by themselves; they count in bigrams only.
-COMMON = """
-a above all an and any appear are as at be but by can copies do either express fee following for from have if in included
-including is it its kind law limited list made may met modify must names neither no nor not obtaining of on only or other part
-particular person persons portions products provided purpose shall so some specific subject terms that the their these this
-to under use used using version was which who will with without work works written you your
-""".split()
+#: A word that so large a share of the sampled lines holds hints at no licence by itself.
+MOST_COMMON = 0.01
+#: Templates of two families that differ by so many words or fewer on either side are told apart by them.
+NEAR_WORDS = 3
 
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 _word = re.compile(WORD).findall
@@ -144,9 +150,23 @@ def trigrams(text: str) -> list[str]:
     return sorted({" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))})
 
 
-def hints() -> list[str]:
-    """The words that the model may know: those of the templates that are not common."""
-    return sorted({w for v in TEMPLATES.values() for t in v for w in _word(t.lower())} - set(COMMON))
+def hints(lines: list[str] | None = None) -> list[str]:
+    """The words that the model may know: those of the templates that few of the sampled lines hold."""
+    found = sorted({w for v in TEMPLATES.values() for t in v for w in _word(t.lower())})
+    held = Counter(w for line in lines or [] for w in set(_word(line.lower())))
+    return [w for w in found if held[w] <= MOST_COMMON * len(lines or [])]
+
+
+def told_apart(family: str, template: str) -> tuple[list[str], list[str]]:
+    """Words that a text must hold, and words that it must not, for a template rather than a near one of another family."""
+    own, needed, barred = set(_word(template.lower())), set(), set()
+    for other, templates in TEMPLATES.items():
+        for near in templates if other != family else []:
+            words = set(_word(near.lower()))
+            if own & words and len(own - words) <= NEAR_WORDS and len(words - own) <= NEAR_WORDS:
+                needed |= own - words
+                barred |= words - own
+    return sorted(needed), sorted(barred)
 
 
 def covered(template: list[str], three: set[str]) -> float:
@@ -218,21 +238,27 @@ def fitted(x: Sparse, labels: np.ndarray, use: np.ndarray, classes: int, steps:
     return w, b
 
 
+def finished(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights in use: small ones dropped, and without any known word a text is unknown."""
+    w, b = np.where(np.abs(w).max(1, keepdims=True) >= LEAST_WEIGHT, w, 0.0), b.copy()
+    b[-1] = max(b[-1], b[:-1].max() + 1)
+    return w, b
+
+
 def train(lines: list[str], seed: int = 3) -> dict:
     """Weights of the known n-grams, biases, and the temperature that suits texts of left-out templates best."""
     rng = np.random.default_rng(seed)
     texts, labels, fold, classes = examples(lines, rng)
-    hint = set(hints())
+    hint = set(hints(lines))
     own = {g for v in TEMPLATES.values() for t in v for g in grams(_word(t.lower())) if hint.intersection(g.split())}
     known = {g: i for i, g in enumerate(sorted(own))}
     x = Sparse(texts, known)
     outside = np.zeros((len(texts), len(classes)))
     for f in range(FOLDS):
-        outside[fold == f] = x.scores(*fitted(x, labels, fold != f, len(classes)))[fold == f]
+        outside[fold == f] = x.scores(*finished(*fitted(x, labels, fold != f, len(classes))))[fold == f]
     loss = {t: -float(log_softmax(outside / t)[np.arange(len(labels)), labels].mean()) for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
-    w, b = fitted(x, labels, np.ones(len(texts), bool), len(classes))
-    b[-1] = max(b[-1], b[:-1].max() + 1)  # without any known word a text is unknown
-    kept = {g for g, i in known.items() if np.abs(w[i]).max() >= LEAST_WEIGHT}
+    w, b = finished(*fitted(x, labels, np.ones(len(texts), bool), len(classes)))
+    kept = {g for g, i in known.items() if w[i].any()}
     used = {word for g in kept for word in g.split() if word in hint}
     weights = {g: [round(float(y), 4) for y in w[i]] for g, i in known.items() if g in kept}
     return {"classes": classes, "hints": sorted(used), "weights": weights, "bias": [round(float(y), 4) for y in b], "temperature": min(loss, key=loss.get)}
@@ -260,11 +286,15 @@ def sample_lines(docs: DataFrame) -> list[str]:
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_paragraphs, families (confirmed), unconfirmed, best_probability (of any family but unknown)."""
+    """doc_id, n_paragraphs, families (confirmed), unconfirmed (and nowhere confirmed), best_probability.
+
+    That is the greatest probability of a predicted family, 0 where none is predicted with ``LEAST_PROBABILITY``.
+    """
     classes, t = model["classes"], model["temperature"]
     weights = F.from_json(F.lit(json.dumps(model["weights"])), "map<string,array<double>>")
     bias = F.array(*[F.lit(float(b)) for b in model["bias"]])
-    templates = F.from_json(F.lit(json.dumps({k: [trigrams(x) for x in v] for k, v in TEMPLATES.items()})), "map<string,array<array<string>>>")
+    listed = {k: [dict(zip(("three", "needed", "barred"), (trigrams(x), *told_apart(k, x)))) for x in v] for k, v in TEMPLATES.items()}
+    templates = F.from_json(F.lit(json.dumps(listed)), "map<string,array<struct<three: array<string>, needed: array<string>, barred: array<string>>>>")
     names = F.array(*[F.lit(c) for c in classes])
     one, two = ([g for g in model["weights"] if g.count(" ") == k] for k in (0, 1))
     known = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
@@ -289,7 +319,8 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
         three = F.array_distinct(joined(words, 3))
         shared = lambda v: F.size(F.array_intersect(v, three))
         enough = lambda v: (shared(v) >= F.size(v) * F.lit(LEAST_COVERED)) & (shared(v) >= F.least(F.size(v), F.lit(LEAST_TRIGRAMS)))
-        confirmed = F.when(sure, F.coalesce(F.exists(F.try_element_at(templates, family), enough), F.lit(False))).otherwise(F.lit(False))
+        apart = lambda t: (F.size(F.array_except(t["needed"], words)) == 0) & ~F.arrays_overlap(t["barred"], words)
+        confirmed = F.when(sure, F.coalesce(F.exists(F.try_element_at(templates, family), lambda t: enough(t["three"]) & apart(t)), F.lit(False))).otherwise(F.lit(False))
         return F.struct(family.alias("family"), best.alias("probability"), sure.alias("sure"), confirmed.alias("confirmed"))
 
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -302,11 +333,14 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
     rows = rows.select("doc_id", "n_paragraphs", "words", F.transform("words", logits).alias("logits"))
     rows = rows.select("doc_id", "n_paragraphs", "words", F.transform("logits", softmax).alias("prob"))
     rows = rows.select("doc_id", "n_paragraphs", F.zip_with("words", "prob", judged).alias("found"))
-    of = lambda test: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("found", test), lambda x: x["family"]))), ",")
+    of = lambda test: F.array_distinct(F.transform(F.filter("found", test), lambda x: x["family"]))
+    rows = rows.select("doc_id", "n_paragraphs", "found", of(lambda x: x["sure"] & x["confirmed"]).alias("families"), of(lambda x: x["sure"]).alias("predicted"))
+    text_of = lambda families: F.array_join(F.array_sort(families), ",")
     return rows.select(
         "doc_id",
         "n_paragraphs",
-        of(lambda x: x["sure"] & x["confirmed"]).alias("families"),
-        of(lambda x: x["sure"] & ~x["confirmed"]).alias("unconfirmed"),
+        text_of("families").alias("families"),
+        # a line of a confirmed paragraph needs no confirmation of its own
+        text_of(F.array_except("predicted", "families")).alias("unconfirmed"),
         F.round(F.coalesce(F.array_max(F.transform("found", lambda x: F.when(x["sure"], x["probability"]))), F.lit(0.0)), 6).alias("best_probability"),
     )

@@ -17,13 +17,14 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.runtime import id_text, shared_path
+from heronry.llm.runtime import id_text, materialize, shared_path
 
 WIDTH = 64
 #: Rows of samples in a frame; a longer payload goes on in the next frame.
@@ -90,8 +91,11 @@ def pack_codes(codes: list[int], size: int = 8) -> bytes:
     return out[: int(ends[-1] + 7) // 8].tobytes()
 
 
-def lzw_decode(stream: bytes, size: int) -> bytes:
-    """Samples of an LZW bit stream. A stream that ends early gives what it holds."""
+def lzw_decode(stream: bytes, size: int, wanted: int | None = None) -> bytes:
+    """Samples of an LZW bit stream, ``wanted`` of them at most. A stream that ends early gives what it holds.
+
+    Beyond what is wanted no more than the samples of one run of 4,096 codes are expanded.
+    """
     clear = 1 << size
     raw = np.frombuffer(stream + bytes(8), np.uint8).astype(np.uint32)
     widths, starts = _widths(clear)
@@ -101,7 +105,12 @@ def lzw_decode(stream: bytes, size: int) -> bytes:
     out: list[bytes] = []
     add = out.append
     table, previous = list(singles), b""
+    held, made = 0, 0
     while bit + size < bits:
+        if wanted is not None:
+            held, made = held + sum(map(len, islice(out, made, None))), len(out)
+            if held >= wanted:
+                break
         most = (bits - bit) // (size + 1) + 1
         if count < full:
             w = widths[count : count + most]
@@ -140,7 +149,7 @@ def lzw_decode(stream: bytes, size: int) -> bytes:
         else:
             bit = int(begins[-1] + w[-1])
             count = min(count + n, full)
-    return b"".join(out)
+    return b"".join(out)[:wanted]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -229,7 +238,7 @@ def render(data: bytes) -> Iterator[Frame]:
         if w * h > MOST_PIXELS or not 0 < size < 9:
             raise ValueError(f"a frame of {w} x {h} with codes of {size} bits")
         stream, at = sub_blocks(at + 1)
-        samples = np.frombuffer(lzw_decode(stream, size)[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        samples = np.frombuffer(lzw_decode(stream, size, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if flags & 0x40:
             order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, h, step)]
             straight = np.empty_like(samples)
@@ -252,9 +261,10 @@ def render(data: bytes) -> Iterator[Frame]:
         disposal, delay, clear = 0, 0, -1
 
 
-def decode_payload(frames: list[Frame]) -> bytes:
-    """The samples of ``encode_payload``: its palette is the grey ramp, so red is the sample."""
-    return b"".join(f.canvas[f.box[0] : f.box[0] + f.box[2], f.box[1] : f.box[1] + f.box[3], 0].tobytes() for f in frames)
+def samples_of(frame: Frame) -> bytes:
+    """The samples of a frame of ``encode_payload``: its palette is the grey ramp, so red is the sample."""
+    top, left, height, width = frame.box
+    return frame.canvas[top : top + height, left : left + width, 0].tobytes()
 
 
 FRAME = "frame int, starts_ms int, duration_ms int, width int, height int, histogram array<long>"
@@ -270,33 +280,18 @@ def timed(found: Iterable[Frame]) -> list[dict]:
     return rows
 
 
-def payload_frames(payload: bytes) -> list[dict]:
-    """The rows that ``timed`` gives for ``encode_payload``: a grey level is one cell on the diagonal of the histogram."""
-    step = WIDTH * ROWS
-    canvas = np.zeros(min(step, len(payload)), np.uint8)
-    rows = []
-    for i, at in enumerate(range(0, len(payload), step)):
-        part = np.frombuffer(payload[at : at + step], np.uint8)
-        canvas[: len(part)] = part
-        histogram = np.zeros(64, np.int64)
-        histogram[::21] = np.bincount(canvas >> 6, minlength=4)
-        rows.append({"frame": i, "starts_ms": 10 * DELAY * i, "duration_ms": 10 * DELAY, "width": WIDTH, "height": len(canvas) // WIDTH, "histogram": histogram.tolist()})
-    return rows
-
-
 def with_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, the GIF of the text's bytes, padded with zero bytes to a multiple of ``WIDTH``, and its timed frames."""
+    """doc_id, n_bytes, and the GIF of the text's bytes, padded with zero bytes to a multiple of ``WIDTH``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 raw = [t.encode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                padded = [r.ljust(max(1, -(-len(r) // WIDTH)) * WIDTH, b"\0") for r in raw]
-                media, shown = pa.array(map(encode_payload, padded), pa.binary()), pa.array(map(payload_frames, padded), pa.list_(_FRAME))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), media, shown], ["doc_id", "n_bytes", "media", "frames"])
+                media = pa.array((encode_payload(r.ljust(max(1, -(-len(r) // WIDTH)) * WIDTH, b"\0")) for r in raw), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
-    return id_text(docs).mapInArrow(run, f"doc_id long, n_bytes long, media binary, frames array<struct<{FRAME}>>")
+    return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def frames(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -319,36 +314,58 @@ def frames(media: DataFrame, key: str = "doc_id", column: str = "media") -> Data
     return media.select(F.col(key).cast("long"), column).mapInArrow(run, "key long, " + FRAME).withColumnRenamed("key", key)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms int"
+DECODED = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{FRAME}>>"
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """What the stored GIFs hold, read back: digests of payload and medium, a histogram feature, and their stored frames' number and time."""
+def decoded(media: DataFrame) -> DataFrame:
+    """What stored GIFs of ``with_media`` hold: digests of payload and medium, and the timed frames as the decoder draws them.
 
-    def one(doc, n, data, shown, time) -> tuple:
-        found = decode_gif(data)
-        payload = decode_payload(found)
-        cells = sum(f.histogram() for f in found)
-        feature = f"{len(found)}x{found[0].delay}:" + "-".join(f"{i}.{c}" for i, c in enumerate(cells.tolist()) if c)
-        return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature, shown, time
+    One frame is drawn at a time; a payload is never whole in memory.
+    """
+
+    def one(doc: int | None, n: int, data: bytes) -> tuple:
+        digest, size, tail = hashlib.sha256(), 0, b""
+
+        def drawn() -> Iterator[Frame]:
+            nonlocal size, tail
+            for frame in render(data):
+                samples = samples_of(frame)
+                digest.update(samples)
+                size, tail = size + len(samples), (tail + samples)[-WIDTH:]
+                yield frame
+
+        rows = timed(drawn())
+        return doc, n, size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-        names = [c.split()[0] for c in DIGEST.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(_FRAME)]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows = [one(*r) for r in zip(*(part.column(i).to_pylist() for i in range(5)))]
+                rows = [one(*(x.as_py() for x in r)) for r in zip(*(part.column(i) for i in range(3)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DECODED)
+
+
+def digests(stored: DataFrame) -> DataFrame:
+    """Rows of ``decoded`` with number, time and a feature of their stored frames: the cells of all histograms that hold a pixel."""
+    zero = F.array_repeat(F.lit(0).cast("long"), 64)
+    cells = F.aggregate(F.transform("frames", lambda f: f["histogram"]), zero, lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
+    named = F.transform(cells, lambda n, i: F.when(n > 0, F.concat(i.cast("string"), F.lit("."), n.cast("string"))))
     last = F.element_at("frames", -1)
-    return media.select("doc_id", "n_bytes", "media", F.size("frames").alias("n_frames"), (last["starts_ms"] + last["duration_ms"]).alias("duration_ms")).mapInArrow(run, DIGEST)
+    head = F.concat(F.size("frames").cast("string"), F.lit("x"), (F.element_at("frames", 1)["duration_ms"] / 10).cast("int").cast("string"), F.lit(":"))
+    return stored.select(
+        *(c for c in stored.columns if c != "frames"), F.concat(head, F.array_join(named, "-")).alias("feature"), F.size("frames").alias("n_frames"),
+        (last["starts_ms"] + last["duration_ms"]).alias("duration_ms"),
+    )
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:
-    """Write the GIFs and their timed frames as a table in the shared folder and digest what is read back."""
+    """Write the GIFs as a table in the shared folder, decode what is read back, store the timed frames and digest those that are read back."""
     spark = docs.sparkSession
-    path = shared_path(spark, "gif")
     media = with_media(docs)
+    path = shared_path(spark, "gif")
     media.write.option("compression", "zstd").parquet(path)
-    return digests(spark.read.schema(media.schema).parquet(path))
+    return digests(materialize(decoded(spark.read.schema(media.schema).parquet(path)), "gif-frames"))

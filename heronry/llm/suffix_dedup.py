@@ -19,6 +19,9 @@ Several lengths are searched at once; the shortest is the *window*.
 5. Repeated windows go back to all places with that context, and from each text the union of
    its repeated strings is cut.
 
+Passages are told by words: ``remove_passages`` searches the same way where each word stands as a
+hash of ``WORD`` bytes, so a string of so many words has one length whatever its letters.
+
 Nothing is dropped or sampled, and only counts reach the driver. Defined results: a null text is
 an empty text; texts shorter than ``length`` are never touched; repeated rows repeat their bytes,
 so both lose them; columns other than ``doc_id`` and ``text`` are not read by ``digests``.
@@ -27,21 +30,24 @@ so both lose them; columns other than ``doc_id`` and ``text`` are not read by ``
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm.runtime import free, hot, id_text, join_hot, key_runs, materialize
 
 LENGTH = 400
-#: Nearly all passages of over 50 words have so many bytes: of 5,800 shared runs of over 50 words
-#: between documents without near copies 99 in 100 have 289 bytes or more, the shortest 253.
+#: Reported beside the strings that are removed.
 PASSAGE = 280
+#: A passage has so many words or more; a word is so many bytes of its hash.
+PASSAGE_WORDS = 51
+WORD = 6
 GRAM = 60
 #: Contexts, about 500 bytes each, that a shard holds on average (its arrays fit a core's cache), and
 #: those of one gram beyond which it is divided over several shards.
@@ -157,7 +163,7 @@ def anchors(docs: DataFrame, length: int, longest: int, gram: int = GRAM) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            raw = [t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
+            raw = batch.column(2).to_pylist()
             for block in text_blocks(list(map(len, raw)), length, longest):
                 data = np.frombuffer(b"".join([raw[k][a:b] for k, a, b, _ in block]), np.uint8)
                 ends = np.cumsum([b - a for _, a, b, _ in block])
@@ -168,7 +174,7 @@ def anchors(docs: DataFrame, length: int, longest: int, gram: int = GRAM) -> Dat
                 columns = [pa.array(docs_[owner], pa.int64()), pa.array(hashes[owner], pa.int64()), pa.array((lo + base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g), pa.array(c)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_key", "text_hash", "lo", "n", "gram", "context"])
 
-    rows = _keyed(docs).select("doc_key", "text_hash", "text").where(F.octet_length("text") >= length)
+    rows = _keyed(docs).select("doc_key", "text_hash", _bytes(docs)).where(F.octet_length("bytes") >= length)
     return rows.mapInArrow(run, ANCHORS)
 
 
@@ -363,8 +369,17 @@ def merge_runs(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Texts with a key: rows of equal key hold the same bytes, so a null id may share the key of id 0."""
-    return id_text(docs).select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("doc_key"), F.xxhash64("text").alias("text_hash"), "text")
+    """Texts, or sequences of bytes in their place, with a key: rows of equal key hold the same bytes, so a null id may share the key of id 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if _binary(docs) else id_text(docs)
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("doc_key"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _binary(docs: DataFrame) -> bool:
+    return isinstance(docs.schema["text"].dataType, T.BinaryType)
+
+
+def _bytes(docs: DataFrame) -> Column:
+    return (F.col("text") if _binary(docs) else F.encode("text", "UTF-8")).alias("bytes")
 
 
 def _across_shards(found: DataFrame, salts: DataFrame) -> DataFrame:
@@ -396,7 +411,7 @@ def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int =
     wanted = dealt.groupBy("doc_key", "text_hash").agg(F.collect_list(item).alias("wanted"))
     # of repeated rows one is read: the others hold the same bytes
     once = _keyed(docs).where(F.octet_length("text") >= window).dropDuplicates(["doc_key", "text_hash"])
-    picked = wanted.join(once, ["doc_key", "text_hash"]).select("wanted", F.encode("text", "UTF-8").alias("bytes"))
+    picked = wanted.join(once, ["doc_key", "text_hash"]).select("wanted", _bytes(docs))
     cut = picked.select("bytes", F.explode("wanted").alias("w"))
     cut = cut.select("w.shard", "w.gram", "w.context", "w.weight", "w.divided", "w.n", F.substring("bytes", F.col("w.lo") + 1, F.col("w.n") + F.lit(longest - 1)).alias("bytes"))
     found = materialize(search_shards(cut, sorted(set(lengths))), "sa-found")
@@ -486,3 +501,77 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut
+
+
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def word_sequence(text: str) -> bytes:
+    """The words of a text, each as ``WORD`` bytes of its hash."""
+    import xxhash
+
+    words = text.encode("utf-8", "replace").split()
+    known = {w: xxhash.xxh64_digest(w)[:WORD] for w in set(words)}
+    return b"".join(map(known.__getitem__, words))
+
+
+def covered_words(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """Runs of words (first, behind the last) inside any string of ``n`` words that begins with a word in a span of bytes."""
+    runs = []
+    for begin, end in sorted(spans):
+        first, last = -(-begin // WORD), (end - n * WORD) // WORD
+        if first > last:
+            continue
+        if runs and first <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], last + n)
+        else:
+            runs.append([first, last + n])
+    return [(a, b) for a, b in runs]
+
+
+def word_spans(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words as bytes, from the first word's begin to the last one's end; words are met one by one."""
+    out, at, words = [], 0, _WORDS.finditer(data)
+    for first, stop in runs:
+        begin = end = 0
+        while at < stop:
+            word = next(words)
+            begin = word.start() if at == first else begin
+            end, at = word.end(), at + 1
+        out.append((begin, end))
+    return out
+
+
+def remove_passages(docs: DataFrame, n: int = PASSAGE_WORDS, gram: int = GRAM, shard: int = SHARD, most: int = DIVIDED) -> DataFrame:
+    """``docs`` without the words of any string of ``n`` words that also starts elsewhere, in the same text or another.
+
+    Strings are equal if their words are, white space between them may differ, and go from their
+    first word to their last; overlaps count, and strings are judged on the input. Every row stays,
+    if need be with an empty text; a null text stays null. ``n_chars``, if there, is counted anew.
+    """
+    at = docs.columns.index("text")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("__words", pa.array([word_sequence(t.as_py() or "") for t in batch.column(at)], pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+                text = text.as_py()
+                runs = covered_words([(s["begin"], s["end"]) for s in spans.as_py()], n) if spans.is_valid else []
+                data = text.encode("utf-8", "replace") if runs else b""
+                kept.append(cut_out(data, word_spans(data, runs)).decode("utf-8", "replace") if runs else text)
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(batch.schema, columns)]))
+
+    spelled = docs.mapInArrow(spell, T.StructType([*docs.schema.fields, T.StructField("__words", T.BinaryType())]))
+    found = repeats(spelled.select("doc_id", F.col("__words").alias("text")), [n * WORD], gram, shard, most).toDF("__key", "__hash", "__spans")
+    keyed = spelled.withColumns({"__own_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__own_hash": F.xxhash64("__words")}).drop("__words")
+    same = (F.col("__own_key") == F.col("__key")) & (F.col("__own_hash") == F.col("__hash"))
+    cut = keyed.join(found, same, "left").select(*[f"`{c}`" for c in docs.columns], "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut
