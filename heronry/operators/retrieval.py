@@ -67,6 +67,12 @@ def indexed_distances(queries: DataFrame, terms: DataFrame, key: list[str]) -> D
     return _cosine_distance(dots, key)
 
 
+def summed_distances(queries: DataFrame, terms: DataFrame, norms: DataFrame, key: list[str]) -> DataFrame:
+    """As ``indexed_distances`` of items whose terms (``key``, token, tf) lie in several rows; their norms (``key``, norm2) apart."""
+    dots = terms.join(query_terms(queries), "token").groupBy("query_id", *key).agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"), F.first("q_norm2").alias("q_norm2"))
+    return _cosine_distance(dots.join(norms.select(*key, "norm2"), key), key)
+
+
 def _cosine_distance(dots: DataFrame, key: list[str]) -> DataFrame:
     cosine = F.col("dot") / F.nullif(F.sqrt(F.col("q_norm2").cast("double")) * F.sqrt(F.col("norm2").cast("double")), F.lit(0.0))
     return dots.select("query_id", *key, plain_zero(F.round(1 - cosine, 6)).alias("dist")).where(F.col("dist").isNotNull())

@@ -3,13 +3,13 @@
 import duckdb
 import pytest
 
-from heronry.plans.queries import ORACLE_SQL, QUERIES
+from heronry.plans.registry import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
 def duck(small):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     return con
 
