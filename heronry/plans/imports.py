@@ -45,7 +45,8 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a corpus to which all documents were streamed."""
     path = f"{sf_dir}/documents.parquet"
     store = _store(spark)
-    store.stream(_native(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)), shared_path(spark, "stream")).awaitTermination()
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern may be one file or a folder
+    store.stream(_native(stream), shared_path(spark, "stream")).awaitTermination()
     return _chunks(store)
 
 
