@@ -186,7 +186,7 @@ def examples(lines: list[str], rng: np.random.Generator) -> tuple[list[str], np.
             words = template.split()
             for copy in range(18):
                 extra = [noise[i] for i in rng.integers(0, len(noise), rng.integers(0, 6))]
-                size = len(words) if copy < 4 else int(rng.integers(min(len(words), 8), len(words) + 1))
+                size = len(words) if copy < 4 else int(rng.integers(min(len(words), 5), len(words) + 1))
                 begin = int(rng.integers(0, len(words) - size + 1)) if copy % 2 else 0
                 texts.append(" ".join(extra[: len(extra) // 2] + words[begin : begin + size] + extra[len(extra) // 2 :]))
                 labels.append(k)
