@@ -14,7 +14,7 @@ from contextlib import contextmanager
 
 import numpy as np
 
-_BLOCK = 32  # bytes of the bit array between two samples
+_BLOCK = 8  # bytes of the bit array between two samples
 _POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 #: Place of the k-th one of a byte.
 _SELECT = np.zeros((256, 8), np.int64)
@@ -71,8 +71,8 @@ class EliasFano:
         if not ones:
             rows = ~rows
         pops = _POP[rows]
-        sums = np.cumsum(pops, axis=1, dtype=np.int64)
-        byte = (sums <= rest[:, None]).sum(1)
+        sums = np.cumsum(pops, axis=1, dtype=np.uint8)
+        byte = (sums <= rest[:, None].astype(np.uint8)).sum(1)
         each = np.arange(len(k))
         rest -= sums[each, byte] - pops[each, byte]
         return block * (8 * _BLOCK) + byte * 8 + _SELECT[rows[each, byte], rest]

@@ -118,8 +118,9 @@ def test_small_batches_many_shards_and_frequent_contexts(spark):
     rows = corpus(200, 2) + ODD
     packed = lm_scoring.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), held(), batch_tokens=700)
     assert packed.count() > 10
-    vocab = lm_scoring.vocabulary(packed)
-    numbered = lm_scoring.number(packed, vocab)
+    vocab, numbered = lm_scoring.learn_words(packed, list_words=150)
+    words = vocab.words.collect()
+    assert len({r["id"] for r in words}) == len({r["word"] for r in words}) == vocab.distinct and max(r["id"] for r in words) < vocab.width
     model = lm_scoring.fit(numbered, vocab, shard_tokens=300, part_tokens=60)
     assert model.shards > 10 and model.split.count() > 3
     same(lm_scoring.score(numbered, model, part_tokens=60).collect(), brute(rows, fold))
@@ -128,8 +129,8 @@ def test_small_batches_many_shards_and_frequent_contexts(spark):
 def test_other_texts_by_a_stored_model(spark):
     rows = corpus(100, 3)
     packed = lm_scoring.pack(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False))
-    vocab = lm_scoring.vocabulary(packed)
-    model = lm_scoring.fit(lm_scoring.number(packed, vocab), vocab)
+    vocab, numbered = lm_scoring.learn_words(packed)
+    model = lm_scoring.fit(numbered, vocab)
     other = [(1000 + i, t) for i, t in corpus(20, 4)]
     asked = lm_scoring.number(lm_scoring.pack(spark.createDataFrame(other, "doc_id long, text string"), F.lit(True)), vocab)
     want = [r for r in brute(rows + other, lambda i: i >= 1000) if r[0] >= 1000]
@@ -146,8 +147,8 @@ def test_probabilities_sum_to_one(spark):
     """Over all known words and one unknown, after a context that was seen."""
     rows = [(0, "a b a c a b"), (1, "b a"), (2, "c c a d")]
     packed = lm_scoring.pack(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False))
-    vocab = lm_scoring.vocabulary(packed)
-    model = lm_scoring.fit(lm_scoring.number(packed, vocab), vocab)
+    vocab, numbered = lm_scoring.learn_words(packed)
+    model = lm_scoring.fit(numbered, vocab)
     asked = [(10 + i, f"a {w}".strip()) for i, w in enumerate(["a", "b", "c", "d", "zzz", ""])]
     numbered = lm_scoring.number(lm_scoring.pack(spark.createDataFrame(asked, "doc_id long, text string"), F.lit(True)), vocab)
     by = {r["doc_id"]: r["score"] for r in lm_scoring.score(numbered, model).collect()}
