@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,9 @@ ROWS = 1024
 #: A larger canvas or frame is refused: a rendered one takes four bytes a pixel.
 MOST_PIXELS = 1 << 24
 DELAY = 10  # hundredths of a second
+#: Samples that may be expanded without being counted, and those of a code in the most hostile stream on average.
+MOST_UNCOUNTED = 1 << 26
+_MEAN_LONGEST = 2048
 
 _ORDER = np.arange(1, 4098)
 
@@ -94,7 +96,8 @@ def pack_codes(codes: list[int], size: int = 8) -> bytes:
 def lzw_decode(stream: bytes, size: int, wanted: int | None = None) -> bytes:
     """Samples of an LZW bit stream, ``wanted`` of them at most. A stream that ends early gives what it holds.
 
-    Beyond what is wanted no more than the samples of one run of 4,096 codes are expanded.
+    Beyond what is wanted no more than the samples of one run of 4,096 codes are expanded, or those
+    of a stream too short to make more than ``MOST_UNCOUNTED``.
     """
     clear = 1 << size
     raw = np.frombuffer(stream + bytes(8), np.uint8).astype(np.uint32)
@@ -106,9 +109,10 @@ def lzw_decode(stream: bytes, size: int, wanted: int | None = None) -> bytes:
     add = out.append
     table, previous = list(singles), b""
     held, made = 0, 0
+    counted = wanted is not None and bits // (size + 1) * _MEAN_LONGEST > MOST_UNCOUNTED
     while bit + size < bits:
-        if wanted is not None:
-            held, made = held + sum(map(len, islice(out, made, None))), len(out)
+        if counted:
+            held, made = held + sum(map(len, out[made:])), len(out)
             if held >= wanted:
                 break
         most = (bits - bit) // (size + 1) + 1
@@ -250,9 +254,12 @@ def render(data: bytes) -> Iterator[Frame]:
         colours = np.zeros((256, 3), np.uint8)
         if palette is not None:
             colours[: len(palette)] = palette
-        drawn = samples != clear
-        region[..., :3][drawn] = colours[samples[drawn]]
-        region[..., 3][drawn] = 255
+        if clear < 0:
+            region[..., :3], region[..., 3] = colours[samples], 255
+        else:
+            drawn = samples != clear
+            region[..., :3][drawn] = colours[samples[drawn]]
+            region[..., 3][drawn] = 255
         yield Frame(canvas.copy(), (top, left, *samples.shape), delay, disposal)
         if disposal == 2:
             region[:] = 0

@@ -67,12 +67,12 @@ EDGES = [
 ]
 
 
-@pytest.mark.parametrize("most", [1, 9, 4000])
+@pytest.mark.parametrize("most", [1, 4000])
 def test_edges(spark, most):
     assert built_by_spark(spark, EDGES, most) == brute(EDGES)
 
 
-@pytest.mark.parametrize(("texts", "n", "longest", "most"), [(["a", "b c"], 120, 4, 12), (["same words here"], 60, 6, 10), (["a", "b", "c d e"], 150, 9, 60)])
+@pytest.mark.parametrize(("texts", "n", "longest", "most"), [(["a", "b c"], 120, 4, 12), (["same words here"], 60, 6, 10)])
 def test_groups_dealt_anew(spark, texts, n, longest, most):
     """Hot first turns, dealt anew several times, and long chains of shared turns."""
     rows = conversations(7, n, texts, longest)
