@@ -81,6 +81,11 @@ def join_hot(many: DataFrame, one: DataFrame, keys: list[str], frequent: DataFra
     return here.unionByName(many.join(frequent, keys, "left_anti").join(one.join(frequent, keys, "left_anti"), keys))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, where what is made of a row in Python is much larger than the row."""
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 def key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
     """Rows sorted by their first column as tables that never part equal keys, with the starts of the keys.
 

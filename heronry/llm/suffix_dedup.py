@@ -31,12 +31,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,13 +157,21 @@ def text_blocks(sizes: list[int], length: int, longest: int) -> Iterator[list[tu
 ANCHORS = "doc_key long, text_hash long, lo int, n int, gram long, context long"
 
 
-def anchors(docs: DataFrame, length: int, longest: int, gram: int = GRAM) -> DataFrame:
+#: What is searched of a text: its bytes, or a sequence of bytes made of it.
+Spell = Callable[[str], bytes]
+
+
+def utf8(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
+
+
+def anchors(docs: DataFrame, length: int, longest: int, gram: int = GRAM, spell: Spell = utf8) -> DataFrame:
     """Every context of every text: where its windows begin, how many they are, and its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            raw = batch.column(2).to_pylist()
+            raw = [spell(t.as_py()) for t in batch.column(2)]
             for block in text_blocks(list(map(len, raw)), length, longest):
                 data = np.frombuffer(b"".join([raw[k][a:b] for k, a, b, _ in block]), np.uint8)
                 ends = np.cumsum([b - a for _, a, b, _ in block])
@@ -174,8 +182,7 @@ def anchors(docs: DataFrame, length: int, longest: int, gram: int = GRAM) -> Dat
                 columns = [pa.array(docs_[owner], pa.int64()), pa.array(hashes[owner], pa.int64()), pa.array((lo + base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g), pa.array(c)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_key", "text_hash", "lo", "n", "gram", "context"])
 
-    rows = _keyed(docs).select("doc_key", "text_hash", _bytes(docs)).where(F.octet_length("bytes") >= length)
-    return rows.mapInArrow(run, ANCHORS)
+    return _long(_keyed(docs), length, spell).select("doc_key", "text_hash", "text").mapInArrow(run, ANCHORS)
 
 
 WIDTH = 5  # bytes of the first key
@@ -369,17 +376,26 @@ def merge_runs(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Texts, or sequences of bytes in their place, with a key: rows of equal key hold the same bytes, so a null id may share the key of id 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if _binary(docs) else id_text(docs)
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("doc_key"), F.xxhash64("text").alias("text_hash"), "text")
+    """Texts with a key: rows of equal key hold the same bytes, so a null id may share the key of id 0."""
+    return id_text(docs).select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("doc_key"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def _binary(docs: DataFrame) -> bool:
-    return isinstance(docs.schema["text"].dataType, T.BinaryType)
+def _long(keyed: DataFrame, length: int, spell: Spell) -> DataFrame:
+    """Without the texts that are too short, where that shows before they are spelled."""
+    return keyed.where(F.octet_length("text") >= length) if spell is utf8 else keyed
 
 
-def _bytes(docs: DataFrame) -> Column:
-    return (F.col("text") if _binary(docs) else F.encode("text", "UTF-8")).alias("bytes")
+def _spelled(texts: DataFrame, spell: Spell) -> DataFrame:
+    """``wanted`` with the bytes that are searched in place of the text."""
+    if spell is utf8:
+        return texts.select("wanted", F.encode("text", "UTF-8").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spell(t.as_py()) for t in batch.column(1)], pa.binary())], ["wanted", "bytes"])
+
+    rows = texts.select("wanted", "text")
+    return rows.mapInArrow(run, T.StructType([rows.schema["wanted"], T.StructField("bytes", T.BinaryType())]))
 
 
 def _across_shards(found: DataFrame, salts: DataFrame) -> DataFrame:
@@ -392,10 +408,13 @@ def _across_shards(found: DataFrame, salts: DataFrame) -> DataFrame:
     return opened.join(both, ["gram", "length", "hash"]).select("gram", "context", "length", "first", "last")
 
 
-def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int = SHARD, most: int = DIVIDED) -> DataFrame:
-    """doc_key, text_hash and ``spans`` (length; begin, end in bytes, in any order) of all texts with repeated strings."""
+def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int = SHARD, most: int = DIVIDED, spell: Spell = utf8) -> DataFrame:
+    """doc_key, text_hash and ``spans`` (length; begin, end in bytes, in any order) of all texts with repeated strings.
+
+    With another ``spell`` strings and places are of the bytes that it gives; equal texts must give equal bytes.
+    """
     window, longest = min(lengths), max(lengths)
-    places = materialize(anchors(docs, window, longest, gram), "sa-anchors")
+    places = materialize(anchors(docs, window, longest, gram, spell), "sa-anchors")
     # of repeated contexts any one place is read: the others hold the same bytes
     one = [F.first(c).alias(c) for c in ("doc_key", "text_hash", "lo", "n")]
     kinds = materialize(places.groupBy("gram", "context").agg(F.count("*").alias("weight"), *one), "sa-contexts")
@@ -410,8 +429,8 @@ def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int =
     item = F.struct("gram", "context", "weight", "divided", "shard", "lo", "n")
     wanted = dealt.groupBy("doc_key", "text_hash").agg(F.collect_list(item).alias("wanted"))
     # of repeated rows one is read: the others hold the same bytes
-    once = _keyed(docs).where(F.octet_length("text") >= window).dropDuplicates(["doc_key", "text_hash"])
-    picked = wanted.join(once, ["doc_key", "text_hash"]).select("wanted", _bytes(docs))
+    once = _long(_keyed(docs), window, spell).dropDuplicates(["doc_key", "text_hash"])
+    picked = _spelled(wanted.join(once, ["doc_key", "text_hash"]), spell)
     cut = picked.select("bytes", F.explode("wanted").alias("w"))
     cut = cut.select("w.shard", "w.gram", "w.context", "w.weight", "w.divided", "w.n", F.substring("bytes", F.col("w.lo") + 1, F.col("w.n") + F.lit(longest - 1)).alias("bytes"))
     found = materialize(search_shards(cut, sorted(set(lengths))), "sa-found")
@@ -551,10 +570,6 @@ def remove_passages(docs: DataFrame, n: int = PASSAGE_WORDS, gram: int = GRAM, s
     """
     at = docs.columns.index("text")
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("__words", pa.array([word_sequence(t.as_py() or "") for t in batch.column(at)], pa.binary()))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -567,11 +582,9 @@ def remove_passages(docs: DataFrame, n: int = PASSAGE_WORDS, gram: int = GRAM, s
             columns[at] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(batch.schema, columns)]))
 
-    spelled = docs.mapInArrow(spell, T.StructType([*docs.schema.fields, T.StructField("__words", T.BinaryType())]))
-    found = repeats(spelled.select("doc_id", F.col("__words").alias("text")), [n * WORD], gram, shard, most).toDF("__key", "__hash", "__spans")
-    keyed = spelled.withColumns({"__own_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__own_hash": F.xxhash64("__words")}).drop("__words")
-    same = (F.col("__own_key") == F.col("__key")) & (F.col("__own_hash") == F.col("__hash"))
-    cut = keyed.join(found, same, "left").select(*[f"`{c}`" for c in docs.columns], "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
+    found = repeats(docs, [n * WORD], gram, shard, most, word_sequence).toDF("__key", "__hash", "__spans")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("__key")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
+    cut = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut
