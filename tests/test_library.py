@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 
 import pytest
@@ -134,6 +135,15 @@ def test_pdf_page_trees_object_streams_and_maps():
         assert parsers.parse_one("pdf", bad)[0] == "error"
 
 
+def test_pdf_streams_that_end_like_a_line():
+    pages = ["a" * i for i in range(1, 257)]  # checksums with every last byte
+    assert any(zlib.compress(b"BT (%b) Tj T* ET" % p.encode()).endswith(b"\r") for p in pages)
+    assert all(parsers.parse_one("pdf", writers.pdf([p])) == ("success", p, None) for p in pages)
+    made = writers.pdf(["one"])
+    cut = re.sub(rb"stream\n(.*?).{6}\nendstream", rb"stream\n\1\nendstream", made, flags=re.S)
+    assert cut != made and parsers.parse_one("pdf", cut)[0] == "error"
+
+
 def test_files_of_a_folder_are_read(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.docx").write_bytes(writers.docx(writers.docx_paragraph("first")))
