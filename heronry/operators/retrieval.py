@@ -105,41 +105,46 @@ def sources(found: DataFrame) -> DataFrame:
 
 
 def dense_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = config.TOP_K, threshold: float = config.DISTANCE_THRESHOLD, block: int = 2048
+    queries: DataFrame, vectors: DataFrame, k: int = config.TOP_K, threshold: float = config.DISTANCE_THRESHOLD, block: int = 2048, held: int = 4
 ) -> DataFrame:
     """Nearest vectors (vec_id, embedding) of a stated query set (query_id, embedding), exactly.
 
     Both sides are gathered into blocks of bounded size; each block of queries meets each block of
-    vectors in one matrix product, which keeps its own best k, and the best of these are ranked.
+    vectors in matrix products, which keep their own best k, and the best of these are ranked. Only
+    the queries are sent more than once, ``held`` times fewer than there are blocks of vectors, and
+    never by way of the driver.
     """
     unit = lambda df, name: df.select(name, F.col("embedding").cast("array<double>").alias("v")).where(F.col("v").isNotNull())
 
-    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    def blocks(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
         rows = unit(df, name)
-        n = max(1, -(-rows.count() // block))
+        n = max(1, -(-rows.count() // size))
         where = F.pmod(F.xxhash64(name), F.lit(n)).alias(f"{name}_block")
         return rows.groupBy(where).agg(F.collect_list(name).alias(f"{name}s"), F.collect_list("v").alias(f"{name}_m")), n
 
-    q, _ = blocks(queries, "query_id")
-    v, n = blocks(vectors, "vec_id")
+    q, _ = blocks(queries, "query_id", block)
+    v, n = blocks(vectors, "vec_id", block * held)
     sent = q.withColumn("vec_id_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("vec_id_block", F.col("vec_id_block").cast("long"))
-    pairs = sent.join(v, "vec_id_block").select("query_ids", "query_id_m", "vec_ids", "vec_id_m")
+    # the planner takes the repeated queries for few bytes, and would collect them to broadcast them
+    pairs = sent.hint("merge").join(v, "vec_id_block").select("query_ids", "query_id_m", "vec_ids", "vec_id_m")
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for qi, qm, vi, vm in frame.itertuples(index=False):
-                qi, vi = np.asarray(qi, np.int64), np.asarray(vi, np.int64)
-                a, b = np.stack([np.asarray(x, float) for x in qm]), np.stack([np.asarray(x, float) for x in vm])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = np.round(1 - a @ b.T / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))), 6)
-                dist[np.abs(dist) < 1e-6] = 0.0
-                rows, columns = np.nonzero(dist < threshold)
-                order = np.lexsort((vi[columns], dist[rows, columns], rows))
-                rows, columns = rows[order], columns[order]
-                first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
-                place = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
-                rows, columns = rows[place < k], columns[place < k]
-                yield pd.DataFrame({"query_id": qi[rows], "vec_id": vi[columns], "dist": dist[rows, columns]})
+                qi, all_vi = np.asarray(qi, np.int64), np.asarray(vi, np.int64)
+                a = np.stack([np.asarray(x, float) for x in qm])
+                for at in range(0, len(all_vi), block):
+                    vi, b = all_vi[at : at + block], np.stack([np.asarray(x, float) for x in vm[at : at + block]])
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        dist = np.round(1 - a @ b.T / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))), 6)
+                    dist[np.abs(dist) < 1e-6] = 0.0
+                    rows, columns = np.nonzero(dist < threshold)
+                    order = np.lexsort((vi[columns], dist[rows, columns], rows))
+                    rows, columns = rows[order], columns[order]
+                    first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
+                    place = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+                    rows, columns = rows[place < k], columns[place < k]
+                    yield pd.DataFrame({"query_id": qi[rows], "vec_id": vi[columns], "dist": dist[rows, columns]})
 
     return top_k(pairs.mapInPandas(multiply, "query_id long, vec_id long, dist double"), ["vec_id"], k, threshold)
 

@@ -60,6 +60,14 @@ def test_sources_are_first_seen(spark, contexts):
     assert [(r["uri"], r["title"]) for r in got] == list(seen.items())
 
 
+def test_dense_top_k_sends_nothing_by_the_driver(spark):
+    vectors = spark.range(40).selectExpr("id AS vec_id", "array(cos(id), sin(id), 0.5D) AS embedding")
+    asked = vectors.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id")
+    one, many = (retrieval.dense_top_k(asked, vectors, 3, 0.5, block=b, held=h) for b, h in ((64, 1), (3, 2)))
+    assert one.count() == 30 and sorted(one.collect()) == sorted(many.collect())
+    assert "Broadcast" not in many._jdf.queryExecution().toString()
+
+
 def test_dense_top_k_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.5, math.sqrt(0.75)]), (4, [0.8, 0.6]), (5, None)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
