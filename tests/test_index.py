@@ -148,3 +148,31 @@ def test_index_of_nothing(spark, tmp_path):
     index = text_index.TextIndex.create(none, f"file://{tmp_path}/index")
     queries = spark.createDataFrame([(1, "the of")], "query_id long, text string")
     assert index.search(queries, text_index.everywhere(queries, ["x"])).count() == 0
+
+
+def test_blocks_find_what_a_join_by_token_finds(spark, monkeypatch):
+    from heronry.functions import scalars
+    from heronry.operators import retrieval, text_blocks
+
+    for name, size in (("ROWS", 20), ("COMMON", 3), ("QUERIES", 2), ("ITEMS", 7)):
+        monkeypatch.setattr(text_blocks, name, size)
+    text = F.expr("concat_ws(' ', transform(sequence(0, cast(id % 9 as int)), i -> concat('w', pmod(xxhash64(id % 37, i), 11))), repeat('w1 ', cast(if(id = 5, 300, id % 4) as int)))")
+    docs = spark.range(90).select(F.col("id").alias("doc_id"), F.when(F.col("id") != 7, text).alias("text"))
+    asked = docs.where("doc_id % 5 < 3").select(F.col("doc_id").alias("query_id"), "text")
+    items = docs.select("doc_id", scalars.tokens(F.col("text")).alias("words"))
+    for k, threshold in ((3, 0.5), (4, 1.0)):
+        want = retrieval.top_k(retrieval.distances(asked, items, ["doc_id"]), ["doc_id"], k, threshold)
+        got = retrieval.nearest(asked, items, ["doc_id"], k, threshold)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+    # no row for each pair that shares a token leaves a task
+    assert text_blocks.met(asked.select("query_id", scalars.tokens(F.col("text")).alias("words")), items, ["doc_id"], 1, 1.0).count() <= asked.count() * 8
+
+
+def test_millionths_are_rounded_as_spark_rounds(spark):
+    import numpy as np
+
+    from heronry.operators import text_blocks
+
+    x = [0.1234565, 0.1234575, 0.0000005, 0.3333335, 0.2, 1 / 3, 0.4999995, 0.2500005]
+    want = [round(r[0] * 1e6) for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert text_blocks.half_up(np.array(x)).astype(int).tolist() == want
