@@ -1,127 +1,84 @@
-"""A stored text index that answers cosine queries without joining common words.
-
-Most of the rows that a join of questions and texts by their tokens makes come from the few hundred
-commonest tokens, the *head*; the other tokens, the *tail*, are rare. Here only the tail is kept as
-postings and joined. The head of a text is a short vector of counts in a vector store, clustered by
-direction, with bounds on each block. With q and d a question and a text,
-
-* a pair that shares a tail token comes out of the join with the exact sum over the tail. The head
-  adds at most the product of the head norms (Cauchy-Schwarz), so a pair that cannot pass the
-  threshold with that is dropped; for those left the head's sum is looked up;
-* a pair that shares none has only its head. The store finds those that pass with it, and skips
-  blocks whose angle, or whose share of head, rules all of their texts out.
-
-Both are exact: the results are those of comparing every question with every text. Texts belong to
-corpora; the tables are partitioned by corpus, and a relation of questions and corpora restricts a
-search, pruning partitions at run time.
+"""A stored text index that answers cosine queries without a row for each token that texts share.
+
+A text is stored as its different words with their counts and its norm: it is split and counted
+once, when it is indexed. Texts belong to corpora, and those of a corpus to *groups* of bounded size
+(``text_blocks``); the table is partitioned by corpus. A relation of questions and corpora restricts
+a search: partitions are pruned at run time, and a question is sent only to the groups of its own
+corpora. There a task turns a group into postings, which the questions stream past; of each question
+only its best k leave it.
+
+The results are those of comparing every question with every text of its corpora.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronry import config
-from heronry.functions.scalars import plain_zero, tokens
-from heronry.operators.retrieval import top_k
-from heronry.operators.terms import slices, with_terms
-from heronry.operators.vector_store import VectorStore
+from heronry.functions.scalars import tokens
+from heronry.operators import text_blocks
+from heronry.operators.retrieval import cosine_distance, top_k
 from heronry.storage import materialize, shared_path
 
-#: Tokens in the head: so many of those that occur in the most texts.
+#: Tokens of a group that are counted in a matrix: so many of those that occur in the most texts.
 HEAD = 256
-
-POSTINGS = "token string, chunk_id long, tf int, norm2 long, head2 long, corpus string"
-HEADS = "chunk_id long, head array<int>, norm2 long, corpus string"
-
-
-def split_head(rows: DataFrame, head: list[str]) -> DataFrame:
-    """Rows with terms, parted: ``head`` as counts in the order of the head's words, the tail as (token, tf) pairs."""
-    place = {word: i for i, word in enumerate(head)}
-    keys = [c for c in rows.columns if c not in ("tokens", "tfs")]
-    at = [rows.columns.index(c) for c in keys]
-    i_tokens, i_tfs = rows.columns.index("tokens"), rows.columns.index("tfs")
-    pair = pa.struct([("token", pa.string()), ("tf", pa.int32())])
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            heads, tails, squares = [], [], []
-            for words, tfs in zip(batch.column(i_tokens).to_pylist(), batch.column(i_tfs).to_pylist()):
-                counts, tail = [0] * len(place), []
-                for word, tf in zip(words, tfs):
-                    if word in place:
-                        counts[place[word]] = tf
-                    else:
-                        tail.append({"token": word, "tf": tf})
-                heads.append(counts)
-                tails.append(tail)
-                squares.append(sum(n * n for n in counts))
-            made = [pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pair)), pa.array(squares, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *made], [*keys, "head", "tail", "head2"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    return rows.mapInArrow(part, f"{schema}, head array<int>, tail array<struct<token: string, tf: int>>, head2 long")
+KEY = ["doc_id", "chunk_idx", "corpus"]
 
 
 class TextIndex:
-    """The index under ``path``: texts, postings and heads by corpus, the head's words, and the store of heads."""
+    """The index under ``path``: counted texts by corpus, and the numbers of each corpus's groups."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.store = VectorStore(spark, f"{self.path}/store")
 
     @classmethod
     def create(cls, chunks: DataFrame, path: str, head: int = HEAD) -> TextIndex:
         """Index chunks (corpus, doc_id, chunk_idx, words)."""
         index = cls(chunks.sparkSession, path)
-        rows = chunks.select(F.col("corpus").cast("string").alias("corpus"), "doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "words")
-        # numbers follow the order in which ties are broken, and are fixed by being written
-        rows = rows.repartitionByRange("doc_id", "chunk_idx").sortWithinPartitions("doc_id", "chunk_idx")
-        counted = materialize(with_terms(rows).select("*", F.monotonically_increasing_id().alias("chunk_id")), "index-terms")
-        common = counted.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(head)
-        words = [r["token"] for r in common.collect()]
-        index.spark.createDataFrame(list(enumerate(words)), "place int, token string").coalesce(1).write.parquet(f"{index.path}/words")
-        index.spark.createDataFrame([(chunks.schema["doc_id"].dataType.simpleString(),)], "doc_id string").coalesce(1).write.parquet(f"{index.path}/kinds")
-        parted = materialize(split_head(counted.select("chunk_id", "corpus", "norm2", "tokens", "tfs"), words), "index-parted")
-        counted.select("chunk_id", "doc_id", "chunk_idx", "corpus").write.partitionBy("corpus").parquet(f"{index.path}/texts")
-        parted.select("chunk_id", "head", "norm2", "corpus").write.partitionBy("corpus").parquet(f"{index.path}/heads")
-        postings = parted.select("corpus", "chunk_id", "norm2", "head2", F.explode("tail").alias("t")).select("t.token", "chunk_id", "t.tf", "norm2", "head2", "corpus")
-        # sorted by token, so a question with few tokens reads few row groups
-        postings.repartitionByRange("corpus", "token").sortWithinPartitions("corpus", "token").write.partitionBy("corpus").parquet(f"{index.path}/postings")
-        VectorStore.create(parted.select(F.col("chunk_id").alias("vec_id"), F.col("head").alias("embedding"), F.col("corpus").alias("part"), F.sqrt(F.col("norm2").cast("double")).alias("whole")), f"{index.path}/store")
+        rows = chunks.select(F.col("corpus").cast("string").alias("corpus"), "doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "words").where(F.col("corpus") > "")
+        counted = materialize(text_blocks.packed(rows), "index-terms")
+        index.spark.createDataFrame([(chunks.schema["doc_id"].dataType.simpleString(), head)], "doc_id string, head int").coalesce(1).write.parquet(f"{index.path}/kinds")
+        sizes = counted.groupBy("corpus").agg(F.count("*").alias("rows"), F.sum(F.length("tfs")).alias("terms"))
+        whole = sizes.agg(F.sum("rows").alias("all_rows"))
+        n = text_blocks.split(F.col("rows"), F.col("terms"), F.col("all_rows"), index.spark.sparkContext.defaultParallelism)
+        parted = sizes.crossJoin(whole).select("corpus", n.alias("n"))
+        # a row for each corpus, numbered through
+        before = F.coalesce(F.sum("n").over(Window.orderBy("corpus").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+        parted.select("corpus", "n", before.alias("start")).coalesce(1).write.parquet(f"{index.path}/groups")
+        place = F.col("start") + F.pmod(F.xxhash64("doc_id", "chunk_idx"), F.col("n"))
+        dealt = counted.join(index.groups(), "corpus").select("doc_id", "chunk_idx", "words", "tfs", "norm2", place.alias("__group"), "corpus")
+        dealt.repartition("__group").write.partitionBy("corpus").parquet(f"{index.path}/texts")
         return index
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def texts(self) -> DataFrame:
-        """(chunk_id, doc_id, chunk_idx, corpus); ids of documents have the type they were given in."""
-        kind = self._read("kinds", "doc_id string").first()["doc_id"]
-        return self._read("texts", f"chunk_id long, doc_id {kind}, chunk_idx long, corpus string")
+    def _kinds(self) -> tuple[str, int]:
+        row = self._read("kinds", "doc_id string, head int").first()
+        return row["doc_id"], row["head"]
 
-    def words(self) -> list[str]:
-        return [r["token"] for r in self._read("words", "place int, token string").orderBy("place").collect()]
+    def groups(self) -> DataFrame:
+        """(corpus, n, start): each corpus's groups are ``n`` from ``start``."""
+        return self._read("groups", "corpus string, n long, start long")
 
-    def postings(self) -> DataFrame:
-        return self._read("postings", POSTINGS)
+    def texts(self) -> DataFrame:
+        """Counted texts with their group; ids of documents have the type they were given in."""
+        return self._read("texts", f"doc_id {self._kinds()[0]}, chunk_idx long, words string, tfs binary, norm2 long, __group long, corpus string")
 
     def _questions(self, queries: DataFrame) -> DataFrame:
-        rows = with_terms(queries.select("query_id", tokens(F.col("text")).alias("words")))
-        return materialize(split_head(rows, self.words()).withColumnRenamed("norm2", "q_norm2").withColumnRenamed("head2", "q_head2"), "questions")
-
-    def _asked_terms(self, questions: DataFrame, scope: DataFrame) -> DataFrame:
-        terms = questions.select("query_id", "q_norm2", "q_head2", F.explode("tail").alias("t")).select("query_id", "q_norm2", "q_head2", "t.token", F.col("t.tf").alias("q_tf"))
-        return terms.join(scope, "query_id")
+        return materialize(text_blocks.packed(queries.select("query_id", tokens(F.col("text")).alias("words"))), "questions")
 
-    def met(self, questions: DataFrame, scope: DataFrame) -> DataFrame:
-        """The rows of the join by tail tokens; its partitions are those of the corpora asked for."""
-        return self.postings().join(self._asked_terms(questions, scope), ["corpus", "token"])
+    def met(self, questions: DataFrame, scope: DataFrame, k: int = config.TOP_K, threshold: float = 1.0) -> DataFrame:
+        """Pairs with dot and norms, of each group the ``k`` nearest of each question; only partitions of the corpora asked for are read."""
+        count = self.groups().agg(F.sum("n").alias("n")).first()["n"] or 1
+        asked = scope.join(self.groups(), "corpus").join(questions, "query_id")
+        every = F.explode(F.expr("sequence(start, start + n - 1)")).alias("__group")
+        texts = self.texts().join(scope.select("corpus").distinct(), "corpus", "left_semi")
+        return text_blocks.compared(texts, asked.select(every, "query_id", "words", "tfs", "norm2"), KEY, count, k, threshold, self._kinds()[1])
 
-    def distances(self, queries: DataFrame, scope: DataFrame, k: int, threshold: float) -> DataFrame:
-        """(query_id, chunk_id, dist) of pairs under the threshold, the ``k`` nearest of each query among them.
+    def search(self, queries: DataFrame, scope: DataFrame, k: int = config.TOP_K, threshold: float = config.DISTANCE_THRESHOLD) -> DataFrame:
+        """The ``k`` nearest chunks (query_id, rn, doc_id, chunk_idx, corpus, dist) of each query in the corpora of its scope.
 
         ``queries`` are (query_id, text), ``scope`` (query_id, corpus) pairs; no corpus has an empty
         name. As everywhere, pairs without a common token are not found, at any threshold.
@@ -129,24 +86,7 @@ class TextIndex:
         threshold = min(threshold, 1.0)
         # a condition that the planner takes to be selective, so that it prunes partitions by this side
         scope = scope.select("query_id", "corpus").distinct().where(F.col("corpus") > "")
-        questions = self._questions(queries)
-        whole = F.sqrt(F.col("q_norm2").cast("double")) * F.sqrt(F.col("norm2").cast("double"))
-        first = lambda *names: [F.first(c).alias(c) for c in names]
-        tails = self.met(questions, scope).groupBy("query_id", "corpus", "chunk_id").agg(F.sum(F.col("tf") * F.col("q_tf")).alias("tail"), *first("norm2", "head2", "q_norm2", "q_head2"))
-        bound = F.col("tail") + F.sqrt(F.col("q_head2").cast("double")) * F.sqrt(F.col("head2").cast("double"))
-        able = tails.where(bound * (1 + 1e-9) / whole > 1 - threshold - 1e-6)
-        marked = questions.select("query_id", F.filter(F.transform("head", lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda e: e["n"] > 0).alias("asked"))
-        looked = able.join(marked, "query_id").join(self._read("heads", HEADS).select("corpus", "chunk_id", "head"), ["corpus", "chunk_id"])
-        dot = F.col("tail") + F.aggregate("asked", F.lit(0).cast("long"), lambda a, e: a + e["n"] * F.get(F.col("head"), e["i"]))
-        joined = looked.select("query_id", "chunk_id", plain_zero(F.round(1 - dot / whole, 6)).alias("dist"))
-        asked = questions.join(scope, "query_id").select("query_id", F.col("head").alias("embedding"), F.col("corpus").alias("part"), F.sqrt(F.col("q_norm2").cast("double")).alias("whole"))
-        by_head = self.store.near(asked, k, threshold).select("query_id", F.col("vec_id").alias("chunk_id"), "dist")
-        # a pair of both has its smaller distance in the first: there the tail is counted too
-        return joined.unionByName(by_head).where(F.col("dist") < threshold).groupBy("query_id", "chunk_id").agg(F.min("dist").alias("dist"))
-
-    def search(self, queries: DataFrame, scope: DataFrame, k: int = config.TOP_K, threshold: float = config.DISTANCE_THRESHOLD) -> DataFrame:
-        """The ``k`` nearest chunks (query_id, rn, doc_id, chunk_idx, corpus, dist) of each query in the corpora of its scope."""
-        near = self.distances(queries, scope, k, threshold).join(self.texts(), "chunk_id")
+        near = cosine_distance(self.met(self._questions(queries), scope, k, threshold), KEY)
         return top_k(near, ["doc_id", "chunk_idx"], k, threshold).select("query_id", "rn", "doc_id", "chunk_idx", "corpus", "dist")
 
 

@@ -14,7 +14,7 @@ from heronry import config
 from heronry.operators import answers, chunking, embedding, text_index
 from heronry.operators.vector_store import VectorStore
 from heronry.plans import queries as base
-from heronry.storage import shared_path
+from heronry.storage import materialize, shared_path
 
 SOURCES = 20
 ANSWER_WORDS = 20
@@ -63,7 +63,7 @@ def first_words() -> Callable[[str, list[str]], str | None]:
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts' texts are joined to the few that were found; they never go through the search."""
-    found = _found(spark, sf_dir, config.DISTANCE_THRESHOLD)
+    found = materialize(_found(spark, sf_dir, config.DISTANCE_THRESHOLD), "contexts")  # read twice, searched once
     wanted = base._table(spark, sf_dir, "documents").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = chunking.chunk_text(wanted.select("doc_id", "text")).select("doc_id", "chunk_idx", "chunk")
     contexts = found.join(chunks, ["doc_id", "chunk_idx"]).select("query_id", "rn", "chunk", "uri", F.concat(F.lit("document "), "doc_id").alias("title"))

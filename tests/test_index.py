@@ -176,3 +176,30 @@ def test_millionths_are_rounded_as_spark_rounds(spark):
     x = [0.1234565, 0.1234575, 0.0000005, 0.3333335, 0.2, 1 / 3, 0.4999995, 0.2500005]
     want = [round(r[0] * 1e6) for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert text_blocks.half_up(np.array(x)).astype(int).tolist() == want
+
+
+def test_index_makes_no_row_for_a_shared_token(spark, tmp_path):
+    """Every text shares rare words with every question: at most k rows of a question leave a group, and only its corpora's groups are asked."""
+    rows = [("xy"[i % 2], i, 0, " ".join(f"rare{j}" for j in range(30)) + f" own{i}") for i in range(200)]
+    chunks = spark.createDataFrame(rows, CHUNKS).select("corpus", "doc_id", "chunk_idx", tokens(F.col("text")).alias("words"))
+    index = text_index.TextIndex.create(chunks, f"file://{tmp_path}/index", 4)
+    queries = spark.createDataFrame([(i, rows[i][3]) for i in range(10)], "query_id long, text string")
+    scope = text_index.everywhere(queries, ["x", "y"]).where("query_id > 4 OR corpus = 'x'")
+    groups = {r["corpus"]: r["n"] for r in index.groups().collect()}
+    assert index.met(index._questions(queries), scope).count() <= 10 * (10 * groups["x"] + 5 * groups["y"])
+    assert all(r["corpus"] == "x" for r in index.search(queries, scope).where("query_id < 5").collect())
+    by_task = index.texts().groupBy("__group").agg(F.countDistinct("corpus").alias("n")).agg(F.max("n")).first()[0]
+    assert by_task == 1
+
+
+def test_tokens_are_split_as_spark_splits(spark):
+    import pyarrow as pa
+
+    from heronry.operators import terms
+
+    texts = ["a b", None, "", " \t\n", "x y z \x1cw\x0bv\x0c\r\x85 é　ü", "  a a  b "]
+    want = [(i, t) for i, text in enumerate(texts) for t in spark.createDataFrame([(text,)], "t string").select(tokens(F.col("t"))).first()[0] or []]
+    row, token = terms.occurrences(pa.array(["cut off", *texts], pa.string()).slice(1))
+    assert list(zip(row.tolist(), token.to_pylist())) == want
+    row, token, tf = terms.counts(row, token)
+    assert sorted(zip(row.tolist(), token.to_pylist(), tf.tolist()))[-2:] == [(5, "a", 2), (5, "b", 1)] and terms.squares(row, tf, 6).tolist()[5] == 5
