@@ -13,16 +13,16 @@ null text; repeated rows are embedded each.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.functions.scalars import tokens
+from heronry.operators.terms import counts, occurrences, slices
 
 FEATURES = 1024
 DIMENSIONS = 32
@@ -47,31 +47,23 @@ def sign(word: str, column: int) -> float:
     return 1.0 if hashlib.md5(f"{word}:{column}".encode()).hexdigest()[0] >= "8" else -1.0
 
 
-def _words(docs: DataFrame, *keys: str) -> DataFrame:
-    return docs.select(*keys, tokens(F.col("text")).alias("words"))
-
-
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(token, df) of all texts; a task's documents are counted before they are sent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter[str] = Counter()
-            for words in batch.column(0):
-                found.update(set(words.as_py() or ()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "df"])
+        for batch in slices(batches, 4096):
+            _, token, _ = counts(*occurrences(batch.column(0)))
+            found = pc.value_counts(token)
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["token", "df"])
 
-    return _words(docs).mapInArrow(count, "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    return docs.select("text").mapInArrow(count, "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
 
 
-def _weighted(lists: pa.Array, place: dict[str, int], idf: np.ndarray) -> np.ndarray:
+def _weighted(texts: pa.StringArray, features: pa.StringArray, idf: np.ndarray) -> np.ndarray:
     """Unit vectors of weighted counts, zero where a text has no feature."""
-    x = np.zeros((len(lists), len(place)))
-    for row, words in enumerate(lists):
-        for word, n in Counter(words.as_py() or ()).items():
-            if word in place:
-                x[row, place[word]] = n
-    x *= idf
+    row, token = occurrences(texts)
+    at = pc.fill_null(pc.index_in(token, features), -1).to_numpy()
+    x = np.bincount(row[at >= 0] * len(features) + at[at >= 0], minlength=len(texts) * len(features)).reshape(len(texts), len(features)) * idf
     norms = np.sqrt((x * x).sum(1))
     return x / np.where(norms > 0, norms, 1.0)[:, None]
 
@@ -82,42 +74,39 @@ def fit(docs: DataFrame, features: int = FEATURES, dimensions: int = DIMENSIONS)
     most = document_frequencies(docs).orderBy(F.desc("df"), "token").limit(features).collect()
     words = [r["token"] for r in most]
     idf = np.log((n + 1) / (np.array([r["df"] for r in most], float) + 1)) + 1
-    place = {w: i for i, w in enumerate(words)}
+    names = pa.array(words, pa.string())
     signs = np.array([[sign(w, j) for j in range(dimensions)] for w in words]).reshape(len(words), dimensions)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(place), dimensions))
-        for batch in batches:
-            for i in range(0, batch.num_rows, _ROWS):
-                x = _weighted(batch.column(0).slice(i, _ROWS), place, idf)
-                total += x.T @ (x @ signs)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(place)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["place", "sums"])
-
-    sums = _words(docs).mapInArrow(add, "place int, sums array<double>").select("place", F.posexplode("sums").alias("column", "sum"))
+        total = np.zeros((len(words), dimensions))
+        for batch in slices(batches, _ROWS):
+            x = _weighted(batch.column(0), names, idf)
+            total += x.T @ (x @ signs)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(words)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["place", "sums"])
+
+    sums = docs.select("text").mapInArrow(add, "place int, sums array<double>").select("place", F.posexplode("sums").alias("column", "sum"))
     projection = np.zeros((len(words), dimensions))
     for r in sums.groupBy("place", "column").agg(F.sum("sum").alias("sum")).collect():
         projection[r["place"], r["column"]] = r["sum"]
     norms = np.sqrt((projection * projection).sum(0))
-    names = hashlib.md5("\n".join(words).encode()).hexdigest()
-    return Embedder(f"cooccurrence-{dimensions}-{names[:12]}", words, idf, projection / np.where(norms > 0, norms, 1.0))
+    digest = hashlib.md5("\n".join(words).encode()).hexdigest()
+    return Embedder(f"cooccurrence-{dimensions}-{digest[:12]}", words, idf, projection / np.where(norms > 0, norms, 1.0))
 
 
 def embed(docs: DataFrame, model: Embedder) -> DataFrame:
     """(doc_id, embedding, model_id, dim) of ``docs`` (doc_id, text), as a store keeps them."""
-    place = {w: i for i, w in enumerate(model.words)}
+    names = pa.array(model.words, pa.string())
     idf, projection = model.idf, model.projection
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(i, _ROWS)
-                v = _weighted(part.column(1), place, idf) @ projection
-                norms = np.sqrt((v * v).sum(1))
-                unit = [x / norm if norm > 1e-12 else None for x, norm in zip(v, norms)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if u is None else u.astype(np.float32) for u in unit], pa.list_(pa.float32()))], ["doc_id", "embedding"])
+        for part in slices(batches, _ROWS):
+            v = _weighted(part.column(1), names, idf) @ projection
+            norms = np.sqrt((v * v).sum(1))
+            unit = [x / norm if norm > 1e-12 else None for x, norm in zip(v, norms)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if u is None else u.astype(np.float32) for u in unit], pa.list_(pa.float32()))], ["doc_id", "embedding"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _words(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, embedding array<float>").withColumns({"model_id": F.lit(model.model_id), "dim": F.lit(model.dimensions)})
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, embedding array<float>").withColumns({"model_id": F.lit(model.model_id), "dim": F.lit(model.dimensions)})
 
 
 def save(model: Embedder, docs: DataFrame, path: str) -> None:

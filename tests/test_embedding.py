@@ -66,3 +66,11 @@ def test_dense_index(spark, tmp_path):
         u, v = np.float32(want[0]).astype(float), np.float32(want[int(r["doc_id"][1:])]).astype(float)
         assert abs(r["dist"] - (1 - u @ v / np.sqrt(u @ u) / np.sqrt(v @ v))) < 2e-6
     assert index.vectors().where(F.col("embedding").isNull()).count() == 2
+
+
+def test_features_are_counted_from_whole_texts():
+    """Texts are counted a batch at a time, not as lists of words in Python."""
+    import pyarrow as pa
+
+    x = embedding._weighted(pa.array(["b a\tb z", None, " z ", "a"], pa.string()), pa.array(["a", "b"]), np.array([1.0, 2.0]))
+    assert np.allclose(x, [[1 / 17**0.5, 4 / 17**0.5], [0, 0], [0, 0], [1, 0]])
