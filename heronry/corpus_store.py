@@ -15,17 +15,19 @@ from __future__ import annotations
 import hashlib
 import logging
 import time
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from heronry import config, storage
-from heronry.functions import scalars
-from heronry.operators import chunking, retrieval
+from heronry.operators import chunking
+from heronry.operators.terms import counts, occurrences, slices, squares, text_slices
 from heronry.sources import parsers
 
 #: Buckets of a corpus for which nothing else is asked.
@@ -107,14 +109,16 @@ class CorpusStore:
         parsers.parse_files(files.dropDuplicates(["file_id"])).write.partitionBy("status").parquet(staged)
         parsed = self.spark.read.schema("file_id string, title string, content string, message string, status string").parquet(staged)
         named = parsed.select(F.col("file_id").alias("doc_id"), F.concat(F.lit("file:///d/"), "file_id").alias("uri"), "title", "status", "message", F.col("content").alias("text"))
-        good, bad = named.where("status = 'success'"), named.where("status = 'error'")
-        # texts are dealt out before they are cut up: whatever is made of them stays in its bucket
-        self._append("chunks", chunking.chunk_text(self._dealt(good.select("doc_id", "uri", "title", "text"))).withColumn("batch", F.lit(batch)))
-        self._append("terms", term_rows(self._dealt(good.select("doc_id", "text"))).withColumn("batch", F.lit(batch)))
+        # texts are dealt out once, before they are cut up: whatever is made of them stays in its bucket
+        dealt = self._dealt(named).persist(StorageLevel.DISK_ONLY)
+        good, bad = dealt.where("status = 'success'"), dealt.where("status = 'error'")
+        self._append("chunks", chunking.chunk_text(good.select("doc_id", "uri", "title", "text")).withColumn("batch", F.lit(batch)))
+        self._append("terms", term_rows(good.select("doc_id", "text")).withColumn("batch", F.lit(batch)))
         # last: from now on this import counts, and what was stored of these files before does not
-        norms = F.when(F.col("status") == "success", retrieval.squared_norm(scalars.tokens(F.col("text"))))
-        rows = good.unionByName(bad).withColumn("norm2", norms).withColumns({"stream": F.lit(stream).cast("string"), "epoch": F.lit(epoch).cast("long"), "batch": F.lit(batch)})
+        rows = with_norms(good).unionByName(bad.drop("text").withColumn("norm2", F.lit(None).cast("long")))
+        rows = rows.withColumns({"stream": F.lit(stream).cast("string"), "epoch": F.lit(epoch).cast("long"), "batch": F.lit(batch)})
         self._append("documents", self._dealt(rows))
+        dealt.unpersist()
         counted = self.spark.table(self.table("documents")).where(F.col("batch") == batch).groupBy("status").count().collect()
         by = {r["status"]: r["count"] for r in counted}
         n_chunks = self.spark.table(self.table("chunks")).where(F.col("batch") == batch).count()
@@ -134,15 +138,20 @@ class CorpusStore:
 
         return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def _kept(self, kind: str, generation: int) -> DataFrame:
+        """What compaction keeps of a table, a bucket in a partition: rows are read in buckets and stay there."""
+        if kind == "documents":
+            return self._dealt(self.outcomes())
+        last = self.spark.table(self.table("documents", generation)).groupBy(F.col("doc_id").alias("live_id")).agg(F.max("batch").alias("live_batch"))
+        rows = self.spark.table(self.table(kind, generation))
+        # a bucket's last imports are few beside its rows; broadcast, they would not have the rows read in buckets
+        return rows.join(last.hint("shuffle_hash"), (F.col("doc_id") == F.col("live_id")) & (F.col("batch") >= F.col("live_batch")), "left_semi")
+
     def compact(self) -> int:
         """Keep only live rows, as a new generation; its number."""
         old = self.generation()
         for kind in TABLES:
-            rows = self.outcomes() if kind == "documents" else self.spark.table(self.table(kind, old))
-            if kind != "documents":
-                live = self.outcomes().select(F.col("doc_id").alias("live_id"), F.col("batch").alias("live_batch"))
-                rows = rows.join(live, (F.col("doc_id") == F.col("live_id")) & (F.col("batch") >= F.col("live_batch")), "left_semi")
-            self._append(kind, self._dealt(rows), old + 1)
+            self._append(kind, self._kept(kind, old), old + 1)
         target, fs = self._fs(f"{self.path}/finished/{old + 1}")
         fs.create(target).close()
         self._forget(old)
@@ -159,27 +168,53 @@ class CorpusStore:
         storage.remove(self.spark, self.path)
 
 
-def term_rows(docs: DataFrame) -> DataFrame:
+def with_norms(docs: DataFrame) -> DataFrame:
+    """``docs`` (any columns and ``text``) with the squared norm of each text's counts in place of the text."""
+    keys = [c for c in docs.columns if c != "text"]
+
+    def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            row, _, tf = counts(*occurrences(batch.column(len(keys))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(squares(row, tf, batch.num_rows))], [*keys, "norm2"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
+    return docs.select(*keys, "text").mapInArrow(norm, f"{schema}, norm2 long")
+
+
+def term_rows(docs: DataFrame, size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP) -> DataFrame:
     """A row for each distinct token of a chunk of docs (doc_id, text).
 
     With its count, its count in the part that is not in the chunk before, and the chunk's norm.
-    Tokens are counted within the row of their chunk: only rows of the index are made, none is sent.
+    Tokens are counted a batch of texts at a time: only rows of the index are made, none is sent.
     """
+    stride = size - overlap
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):  # a list of words is much larger in Python than in Arrow
-                part = batch.slice(i, 512)
-                lists, tfs, owns, norms = [], [], [], []
-                for at, words in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    found, own = Counter(words), Counter(words[config.CHUNK_OVERLAP if at else 0 :])
-                    lists.append(list(found))
-                    tfs.append(list(found.values()))
-                    owns.append([own[w] for w in found])
-                    norms.append(sum(n * n for n in found.values()))
-                made = [pa.array(lists, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64())), pa.array(owns, pa.list_(pa.int64())), pa.array(norms, pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["doc_id", "chunk_idx", "token", "tf", "own_tf", "norm2"])
-
-    chunks = chunking.chunk_tokens(docs.select("doc_id", "text")).select("doc_id", "chunk_idx", "words")
-    rows = chunks.mapInArrow(count, "doc_id string, chunk_idx long, token array<string>, tf array<long>, own_tf array<long>, norm2 long")
-    return rows.select("doc_id", "chunk_idx", "norm2", F.explode(F.arrays_zip("token", "tf", "own_tf")).alias("t")).select("doc_id", "chunk_idx", "t.*", "norm2")
+        # long runs in the order in which files are sorted: of few runs a sort is a merge
+        for batch in text_slices(batches, 1):
+            row, token = occurrences(batch.column(1))
+            if not len(row):
+                continue
+            named = token.dictionary_encode()
+            code, n = named.indices.to_numpy(), np.bincount(row, minlength=batch.num_rows)
+            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            last = np.maximum(0, -(-(n - size) // stride))
+            first = np.cumsum(last + 1) - (last + 1)  # chunks of the batch are numbered through
+            found = []
+            for back in range(-(-size // stride)):  # the chunks that a token is in
+                chunk = place // stride - back
+                held = (chunk >= 0) & (chunk <= last[row]) & (place < chunk * stride + size)
+                found.append((first[row[held]] + chunk[held], code[held], (chunk[held] == 0) | (place[held] - chunk[held] * stride >= overlap)))
+            number, code, own = (np.concatenate([f[i] for f in found]) for i in range(3))
+            order = pc.sort_indices(named.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            of = np.repeat(np.arange(batch.num_rows), last + 1)
+            pair, at, tf = np.unique(rank[code] * len(of) + number, return_inverse=True, return_counts=True)
+            number, code = pair % len(of), order[pair // len(of)]
+            own_tf = np.bincount(at[own], minlength=len(pair))
+            norm2 = squares(number, tf, len(of))
+            made = [batch.column(0).take(pa.array(of[number])), pa.array(number - first[of[number]], pa.int64()), named.dictionary.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(own_tf, pa.int64()), pa.array(norm2[number])]
+            yield from slices([pa.RecordBatch.from_arrays(made, ["doc_id", "chunk_idx", "token", "tf", "own_tf", "norm2"])], 50_000)
+
+    return docs.select("doc_id", "text").mapInArrow(count, "doc_id string, chunk_idx long, token string, tf long, own_tf long, norm2 long")

@@ -14,6 +14,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     return (batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows))
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have about ``size`` bytes together, at most ``rows`` of them."""
+    for batch in batches:
+        before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            used = int(before[at - 1]) if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(before, used + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def occurrences(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
     """Of each whitespace token of texts, in order, its row and itself: the tokens of ``scalars.tokens``."""
     texts = pc.fill_null(texts, "")

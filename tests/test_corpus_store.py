@@ -147,3 +147,52 @@ def test_batch_answers_from_a_corpus(spark, engine):
     assert (got[1]["answer"], got[2]["status"], got[3]["answer"]) == ("1: herons by the water", "warning", "1: budget table")
     terms = store_of(engine).live("terms").groupBy("doc_id").agg(F.sum("own_tf").alias("n"))
     assert {r["doc_id"]: r["n"] for r in terms.collect()} == {"1": 4, "2": 2}
+
+
+def test_terms_are_those_of_the_chunks(spark):
+    """Counts, own counts and norms of every chunk, by counting word by word."""
+    from collections import Counter
+
+    from heronry.corpus_store import term_rows, with_norms
+
+    texts = [("a", "x y x z " * 5), ("b", ""), ("c", None), ("d", "w1 w2 w1"), ("e", " ".join(f"w{i % 3}" for i in range(7))), ("f", " ".join(f"w{i * i % 5}" for i in range(8)))]
+    docs = spark.createDataFrame(texts, "doc_id string, text string").repartition(2)
+    for size, overlap in ((4, 1), (5, 3), (6, 0)):
+        want = []
+        for i, text in texts:
+            words, stride = (text or "").split(), size - overlap
+            for c in range(1 + max(0, -(-(len(words) - size) // stride)) if words else 0):
+                held = words[c * stride : c * stride + size]
+                found, own = Counter(held), Counter(held[overlap if c else 0 :])
+                want += [(i, c, w, n, own[w], sum(m * m for m in found.values())) for w, n in found.items()]
+        assert sorted(map(tuple, term_rows(docs, size, overlap).collect())) == sorted(want)
+    norms = {r["doc_id"]: r["norm2"] for r in with_norms(docs).collect()}
+    assert norms == {i: sum(n * n for n in Counter((t or "").split()).values()) for i, t in texts}
+
+
+def test_compaction_sends_no_rows(spark, engine):
+    """Tables are read and written in their buckets, one file each."""
+    store = store_of(engine)
+    for turn in range(2):
+        store.add(native(spark, [(str(i), f"text {i} of turn {turn}") for i in range(40)]))
+    for kind in ("chunks", "terms"):
+        plan = store._kept(kind, 0)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "ShuffledHashJoin" in plan, plan
+    engine.compact("c")
+    for kind in ("chunks", "terms", "documents"):
+        assert len(spark.table(store.table(kind)).inputFiles()) <= store.buckets
+    assert store.live("terms").where("token = 'turn'").count() == 40
+
+
+def test_terms_come_in_the_order_of_their_files(spark):
+    """A task's rows are one sorted run for each slice of texts, which a sort only merges; slices are cut by bytes."""
+    import pyarrow as pa
+
+    from heronry.corpus_store import term_rows
+    from heronry.operators.terms import text_slices
+
+    docs = spark.createDataFrame([(str(i), f"b{i} é a{i % 3} z the") for i in range(50)], "doc_id string, text string").coalesce(1)
+    got = [r["token"].encode() for r in term_rows(docs).collect()]
+    assert got == sorted(got) and len(got) == 250
+    batch = pa.RecordBatch.from_pydict({"i": list(range(6)), "t": ["x" * 30, None, "y" * 5, "", "z" * 5, "w"]})
+    assert [p.column(0).to_pylist() for p in text_slices([batch], 1, 3, 10)] == [[0], [1, 2, 3], [4, 5]]
