@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.runtime import free, hot, join_hot, key_runs, materialize, slices
+from heronry.llm.runtime import free, hot, join_hot, key_runs, materialize, sift, slices
 from heronry.llm.simhash import SEED, components, fingerprint, forest, links
 
 #: Texts, about, whose shingles tell which are frequent, and the most of them that are kept.
@@ -304,9 +304,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, digest: int = 4, radius: int = 4
     whole = stored.select(F.col("__sid").alias("sid"), "__row", "text")
     members = materialize(parted(lists(whole, shingle), sets), "near-members")
     wanted = sets.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("__row"))
-    similar = verified(members, whole.join(wanted.select("__row"), "__row", "left_semi"), shingle)
+    wanted = materialize(wanted.select("__row"), "near-wanted")
+    similar = verified(members, sift(whole, wanted, ["__row"])[0].join(wanted, "__row", "left_semi"), shingle)
     roots = components(similar.unionByName(collided(sets, radius)))
     named = sets.join(roots, sets.sid == roots.high, "left").select("least", F.coalesce("low", "sid").alias("root"))
-    kept = materialize(named.groupBy("root").agg(F.min("least").alias("least")).select("least.row"), "near-kept")
-    free(sets, members, similar)
-    return stored.join(kept, stored["__row"] == kept["row"], "left_semi").select(*[f"`{c}`" for c in columns])
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    dropped = materialize(stored.select("__row").join(kept, "__row", "left_anti"), "near-dropped")
+    free(sets, members, wanted, similar)
+    # only texts that may be dropped are shuffled
+    doubtful, clear = sift(stored, dropped, ["__row"])
+    return clear.unionByName(doubtful.join(dropped, "__row", "left_anti")).select(*[f"`{c}`" for c in columns])

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A key that holds more than one in so many rows is joined without a shuffle.
 HOT_SHARE = 1000
+#: Bits of a sift for each key, in pages of so many; at most so many pages, 8 MB, however many keys.
+SIFT_BITS, SIFT_PAGE, SIFT_PAGES = 16, 1 << 15, 1 << 11
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,6 +83,24 @@ def join_hot(many: DataFrame, one: DataFrame, keys: list[str], frequent: DataFra
     return here.unionByName(many.join(frequent, keys, "left_anti").join(one.join(frequent, keys, "left_anti"), keys))
 
 
+def sift(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key may be among ``keys``, and all others, whose key is not; no row is moved.
+
+    Each key sets one bit of a bitmap, which is broadcast, so that rows with large columns are
+    shuffled only where a join can find something. Beyond its greatest size more rows may be
+    among the first; an exact join has to follow. Key columns have the same types in both.
+    """
+    columns = [f"`{c}`" for c in rows.columns]
+    pages = min(SIFT_PAGES, 1 + keys.count() * SIFT_BITS // SIFT_PAGE)
+    place = F.pmod(F.xxhash64(*on), F.lit(pages * SIFT_PAGE))
+    page, bit = F.floor(place / SIFT_PAGE).cast("int"), place.bitwiseAND(F.lit(SIFT_PAGE - 1))
+    bits = keys.select(page.alias("__page"), bit.alias("__bit")).repartition("__page").groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    told = rows.withColumn("__page", page).join(F.broadcast(bits), "__page", "left")
+    return told.where(may).select(*columns), told.where(~may).select(*columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, where what is made of a row in Python is much larger than the row."""
     return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))

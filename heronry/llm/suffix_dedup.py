@@ -14,8 +14,8 @@ Several lengths are searched at once; the shortest is the *window*.
    groups of two or more stay active. Kasai's scan in text order, all contexts in lockstep, gives
    the common prefixes. A window whose neighbour window in the array shares ``length`` bytes is
    the start of a repeated string of that length.
-4. Shards of one gram are merged: each sends its distinct windows as sorted runs of 64-bit
-   hashes, cut into slices; runs are searched in the merged slice by binary search.
+4. Shards of one gram are merged: each sends its distinct windows as 64-bit hashes, cut into
+   slices, a row for each; they are searched in the merged slice by binary search.
 5. Repeated windows go back to all places with that context, and from each text the union of
    its repeated strings is cut.
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.runtime import free, hot, id_text, join_hot, key_runs, materialize
+from heronry.llm.runtime import free, hot, id_text, join_hot, key_runs, materialize, sift
 
 LENGTH = 400
 #: Reported beside the strings that are removed.
@@ -319,44 +319,53 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, le
     return at, text, found
 
 
-#: Rows of a shard's result: a run of repeated windows; of a divided gram also each window that is
-#: not repeated so far, and one of each kind that is, with its hash.
-RUN, OPEN, KNOWN = range(3)
-FOUND = "gram long, context long, shard long, length int, kind int, first int, last int, hash long"
+#: Rows of a shard's result: a run of repeated windows; of a divided gram also a slice (in ``first``) of
+#: its windows, packed: all that are not repeated so far, and one of each kind that is.
+RUN, SLICE = range(2)
+FOUND = "gram long, context long, shard long, length int, kind int, first int, last int, windows binary"
+FOUND_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def search_shard(table: pa.Table, lengths: list[int]) -> pa.RecordBatch:
-    """One shard: its contexts' runs of repeated windows; for a divided gram also its windows' hashes."""
-    column = {c: table.column(c).to_numpy() for c in ("gram", "context", "weight", "divided", "n")}
-    counts, many, divided = column["n"].astype(np.int64), column["weight"] > 1, column["divided"].astype(bool)
+    """One shard: its contexts' runs of repeated windows; for a divided gram also its windows, in slices by hash."""
+    column = {c: table.column(c).to_numpy() for c in ("gram", "context", "weight", "slices", "n")}
+    counts, many, divided = column["n"].astype(np.int64), column["weight"] > 1, column["slices"] > 0
     data, sizes = joined(table.column("bytes").combine_chunks())
     at, text, found = repeated_windows(data, sizes, counts, lengths)
     place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     opens, closes = (np.r_[x, text[1:] != text[:-1], y].astype(bool)[k : len(text) + k] for x, y, k in ((1, 1, 0), (1, 1, 1)))
     hashes = Hashes(data) if divided.any() else None
-    rows = []  # context, length, kind, first, last, hash
+    rows = []  # gram, context, length, kind, first, last, windows
     for length in lengths:
         again, first_of_kind = found[length]
         fits = place + length <= sizes[text]
         flags = (again | many[text]) & fits
         begins = np.flatnonzero(flags & (opens | ~np.r_[False, flags[:-1]]))
         stops = np.flatnonzero(flags & (closes | ~np.r_[flags[1:], False]))
-        rows.append((text[begins], length, RUN, place[begins], place[stops], np.zeros(len(begins), np.int64)))
+        rows.append((column["gram"][text[begins]], column["context"][text[begins]], length, RUN, place[begins], place[stops], [None] * len(begins)))
         if hashes:
-            own = divided[text] & fits
-            for kind, which in ((OPEN, own & ~flags), (KNOWN, own & flags & first_of_kind)):
-                w = np.flatnonzero(which)
-                rows.append((text[w], length, kind, place[w], place[w], _mix(hashes.of(at[w], at[w] + length)).view(np.int64)))
-    context = np.concatenate([r[0] for r in rows])
-    whole = lambda k: np.concatenate([np.full(len(r[0]), r[k]) for r in rows]).astype(np.int32)
-    joint = lambda k, kind: np.concatenate([r[k] for r in rows]).astype(kind)
-    shard = np.full(len(context), table.column("shard")[0].as_py(), np.int64)
-    columns = [column["gram"][context], column["context"][context], shard, whole(1), whole(2), joint(3, np.int32), joint(4, np.int32), joint(5, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in FOUND.split(", ")])
+            w = np.flatnonzero(divided[text] & fits & (~flags | first_of_kind))
+            rows.append(packed_slices(column, text[w], np.where(flags[w], -1, place[w]), _mix(hashes.of(at[w], at[w] + length)), length))
+    whole = lambda k: np.concatenate([np.full(len(r[0]), r[k]) for r in rows])
+    joint = lambda k: np.concatenate([r[k] for r in rows])
+    shard = np.full(sum(len(r[0]) for r in rows), table.column("shard")[0].as_py())
+    columns = [joint(0), joint(1), shard, whole(2), whole(3), joint(4), joint(5), [x for r in rows for x in r[6]]]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, FOUND_TYPES)], [f.split()[0] for f in FOUND.split(", ")])
+
+
+def packed_slices(column: dict[str, np.ndarray], text: np.ndarray, place: np.ndarray, hashes: np.ndarray, length: int) -> tuple:
+    """Rows with the windows of divided grams, one for each gram and slice: hashes, contexts and places (-1: known to repeat)."""
+    gram, part = column["gram"][text], ((hashes >> np.uint64(20)) % column["slices"][text].astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((part, gram))
+    gram, part, packed = gram[order], part[order], np.stack([hashes.view(np.int64), column["context"][text], place])[:, order]
+    starts = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])][: len(gram)])
+    windows = [np.ascontiguousarray(p).tobytes() for p in np.split(packed, starts[1:], axis=1)] if len(starts) else []
+    none = np.zeros(len(starts), np.int64)
+    return gram[starts], none, length, SLICE, part[starts], none, windows
 
 
 def search_shards(dealt: DataFrame, lengths: list[int]) -> DataFrame:
-    """``search_shard`` of every shard of contexts (shard first, gram, context, weight, divided, n, bytes)."""
+    """``search_shard`` of every shard of contexts (shard first, gram, context, weight, slices, n, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, table in key_runs(batches):
@@ -366,13 +375,14 @@ def search_shards(dealt: DataFrame, lengths: list[int]) -> DataFrame:
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
 
 
-def merge_runs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Hashes of one slice that occur in more than one sorted run, by binary search in all of them."""
-    sorted_runs = [np.sort(np.asarray(r, np.int64)) for r in frame["run"]]
-    merged = np.sort(np.concatenate(sorted_runs))
-    found = [r[np.searchsorted(merged, r, "right") - np.searchsorted(merged, r, "left") > 1] for r in sorted_runs]
-    both = np.unique(np.concatenate(found))
-    return pd.DataFrame({"gram": np.full(len(both), frame["gram"].iloc[0], np.int64), "length": np.full(len(both), frame["length"].iloc[0], np.int32), "hash": both})
+def merge_windows(frame: pd.DataFrame) -> pd.DataFrame:
+    """The windows of one slice, not repeated in their own shard, that another shard has too, by binary search in all of them."""
+    sent = [np.frombuffer(w, np.int64).reshape(3, -1) for w in frame["windows"]]
+    merged = np.sort(np.concatenate([s[0] for s in sent]))
+    opened = np.concatenate([s[:, s[2] >= 0] for s in sent], axis=1)
+    hashes, context, place = opened[:, np.searchsorted(merged, opened[0], "right") - np.searchsorted(merged, opened[0], "left") > 1]
+    gram, length = (np.full(len(hashes), frame[c].iloc[0], k) for c, k in (("gram", np.int64), ("length", np.int32)))
+    return pd.DataFrame({"gram": gram, "context": context, "length": length, "first": place.astype(np.int32), "last": place.astype(np.int32)})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -398,14 +408,17 @@ def _spelled(texts: DataFrame, spell: Spell) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["wanted"], T.StructField("bytes", T.BinaryType())]))
 
 
-def _across_shards(found: DataFrame, salts: DataFrame) -> DataFrame:
+def _across_shards(found: DataFrame) -> DataFrame:
     """Windows of divided grams that other shards of the gram hold too, as runs of one window."""
-    hashes = found.where(F.col("kind") != RUN).join(salts, "gram").select("gram", "length", "shard", "salts", "hash")
-    sliced = hashes.withColumn("slice", F.pmod(F.shiftrightunsigned("hash", 20), "salts"))
-    sorted_runs = sliced.groupBy("gram", "length", "slice", "shard").agg(F.collect_list("hash").alias("run"))
-    both = sorted_runs.groupBy("gram", "length", "slice").applyInPandas(merge_runs, "gram long, length int, hash long")
-    opened = found.where(F.col("kind") == OPEN)
-    return opened.join(both, ["gram", "length", "hash"]).select("gram", "context", "length", "first", "last")
+    sent = found.where(F.col("kind") == SLICE).select("gram", "length", F.col("first").alias("slice"), "windows")
+    return sent.groupBy("gram", "length", "slice").applyInPandas(merge_windows, "gram long, context long, length int, first int, last int")
+
+
+def spanned(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the ``__spans`` of their key, or null; only texts that may have some are shuffled."""
+    on = ["__key", "__hash"]
+    may, clear = sift(rows, found, on)
+    return may.join(found, on, "left").unionByName(clear.withColumn("__spans", F.lit(None).cast(found.schema["__spans"].dataType)))
 
 
 def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int = SHARD, most: int = DIVIDED, spell: Spell = utf8) -> DataFrame:
@@ -425,25 +438,25 @@ def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int =
     salts = F.ceil(F.col("kinds") / F.lit(most))
     divided = F.col("kinds") > most
     name = F.when(divided, F.xxhash64("gram", F.pmod(F.xxhash64("context"), salts))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    dealt = join_hot(kinds, twice, ["gram"], hot(twice, "kinds", contexts)).select("gram", "context", "weight", "doc_key", "text_hash", "lo", "n", divided.alias("divided"), name.alias("shard"))
-    item = F.struct("gram", "context", "weight", "divided", "shard", "lo", "n")
-    wanted = dealt.groupBy("doc_key", "text_hash").agg(F.collect_list(item).alias("wanted"))
-    # of repeated rows one is read: the others hold the same bytes
-    once = _long(_keyed(docs), window, spell).dropDuplicates(["doc_key", "text_hash"])
+    dealt = join_hot(kinds, twice, ["gram"], hot(twice, "kinds", contexts)).select("gram", "context", "weight", "doc_key", "text_hash", "lo", "n", F.when(divided, salts).otherwise(0).alias("slices"), name.alias("shard"))
+    item = F.struct("gram", "context", "weight", "slices", "shard", "lo", "n")
+    wanted = materialize(dealt.groupBy("doc_key", "text_hash").agg(F.collect_list(item).alias("wanted")), "sa-wanted")
+    # of repeated rows one is read: the others hold the same bytes; only texts that may be wanted are shuffled
+    once = sift(_long(_keyed(docs), window, spell), wanted, ["doc_key", "text_hash"])[0].dropDuplicates(["doc_key", "text_hash"])
     picked = _spelled(wanted.join(once, ["doc_key", "text_hash"]), spell)
     cut = picked.select("bytes", F.explode("wanted").alias("w"))
-    cut = cut.select("w.shard", "w.gram", "w.context", "w.weight", "w.divided", "w.n", F.substring("bytes", F.col("w.lo") + 1, F.col("w.n") + F.lit(longest - 1)).alias("bytes"))
+    cut = cut.select("w.shard", "w.gram", "w.context", "w.weight", "w.slices", "w.n", F.substring("bytes", F.col("w.lo") + 1, F.col("w.n") + F.lit(longest - 1)).alias("bytes"))
     found = materialize(search_shards(cut, sorted(set(lengths))), "sa-found")
     ranges = found.where(F.col("kind") == RUN).select("gram", "context", "length", "first", "last")
-    split, across = twice.where(divided).select("gram", salts.alias("salts")), None
-    if split.limit(1).count():
-        across = materialize(_across_shards(found, split), "sa-across")
+    across = None
+    if not twice.where(divided).isEmpty():
+        across = materialize(_across_shards(found), "sa-across")
         ranges = ranges.unionByName(across)
     # a context has at most ``window`` runs of each length, so those of frequent contexts are a small broadcast
     back = join_hot(places, ranges, ["gram", "context"], hot(kinds, "weight", places.count()))
     span = F.struct("length", (F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + F.col("length")).alias("end"))
     spans = materialize(back.groupBy("doc_key", "text_hash").agg(F.collect_set(span).alias("spans")), "sa-spans")
-    free(places, kinds, twice, found, across)
+    free(places, kinds, twice, wanted, found, across)
     return spans
 
 
@@ -492,9 +505,9 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
             columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(DIGESTS), DIGESTS.values())]
             yield pa.RecordBatch.from_arrays(columns, list(DIGESTS))
 
-    found = repeats(docs, [length, passage], gram, shard, most)
-    joined = _keyed(docs).join(found, ["doc_key", "text_hash"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
+    found = repeats(docs, [length, passage], gram, shard, most).toDF("__key", "__hash", "__spans")
+    rows = _keyed(docs).withColumnsRenamed({"doc_key": "__key", "text_hash": "__hash"})
+    return spanned(rows, found).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, most: int = DIVIDED) -> DataFrame:
@@ -515,8 +528,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(batch.schema, columns)]))
 
     found = repeats(docs, [length], gram, shard, most).toDF("__key", "__hash", "__spans")
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("__key")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
-    cut = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
+    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    cut = spanned(rows, found).select(*[f"`{c}`" for c in docs.columns], "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut
@@ -583,8 +596,8 @@ def remove_passages(docs: DataFrame, n: int = PASSAGE_WORDS, gram: int = GRAM, s
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(batch.schema, columns)]))
 
     found = repeats(docs, [n * WORD], gram, shard, most, word_sequence).toDF("__key", "__hash", "__spans")
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("__key")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
-    cut = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
+    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    cut = spanned(rows, found).select(*[f"`{c}`" for c in docs.columns], "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut
