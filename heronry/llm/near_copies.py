@@ -6,7 +6,8 @@ other, the first fifth and one more of their shingles, in one order for the whol
 in common. The order puts shingles that many texts of a sample hold last; any order gives the same
 result. Texts that meet at a shingle form a list, which is cut where sizes are too far apart; equal
 lists are worked through once. Parity sketches, a bit for each shingle or more, part a list without
-loss, and every pair of what still hangs together is compared exactly unless already connected.
+loss, and every pair of what still hangs together is compared exactly unless already connected. Of
+a small family, connected by lists, each set is sent to the comparison once and not with every list.
 
 Defined results: a null or empty text has no shingles; all such are copies of each other. A text
 of fewer words than a shingle is one shingle. Repeated rows and equal sets are copies.
@@ -31,6 +32,8 @@ SAMPLE = 10_000
 MOST_FREQUENT = 100_000
 #: Texts of a list compared at once; a longer list is compared block by block, every pair of blocks.
 BLOCK = 2048
+#: Sets of a family, all that lists connect, up to which it is compared as one list.
+FAMILY = 64
 
 
 MARKS = {"__sid": T.LongType(), "__check": T.LongType(), "__size": T.LongType(), "__sketch": T.BinaryType(), "__fp": T.LongType()}
@@ -242,6 +245,17 @@ def parted(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.groupBy("unit").agg(F.first("members").alias("members")).mapInArrow(flat, "unit long, sid long")
 
 
+def gathered(members: DataFrame) -> DataFrame:
+    """unit, sid: the lists of each small family as one, so that each of its sets is sent once; larger families keep their lists."""
+    least = members.groupBy("unit").agg(F.min("sid").alias("low"))
+    roots = components(members.join(least, "unit").select(F.col("sid").alias("high"), "low"))
+    sizes = materialize(roots.groupBy("low").agg((F.count("*") + 1).alias("held")), "near-families")
+    named = roots.select("high", "low").unionByName(sizes.select(F.col("low").alias("high"), "low"))
+    known = join_hot(named, sizes, ["low"], hot(sizes, "held", named.count())).select(F.col("high").alias("sid"), "low", "held")
+    unit = F.when(F.col("held") <= FAMILY, F.col("low")).otherwise(F.col("unit")).alias("unit")
+    return members.join(known, "sid").select(unit, "sid").distinct()
+
+
 def verified(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Links (high, low) between the sets of every unit that are similar."""
 
@@ -303,6 +317,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, digest: int = 4, radius: int = 4
         return keep_one(docs, shingle, digest, radius, salt + 1)
     whole = stored.select(F.col("__sid").alias("sid"), "__row", "text")
     members = materialize(parted(lists(whole, shingle), sets), "near-members")
+    parts, members = members, materialize(gathered(members), "near-gathered")
+    free(parts)
     wanted = sets.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("__row"))
     wanted = materialize(wanted.select("__row"), "near-wanted")
     similar = verified(members, sift(whole, wanted, ["__row"])[0].join(wanted, "__row", "left_semi"), shingle)

@@ -53,3 +53,13 @@ def test_rows_of_a_divided_gram_do_not_grow_with_its_windows():
     assert len(packed) == 2 and {r["first"] for r in packed} == {0, 1}
     assert [(r["context"], r["first"], r["last"]) for r in found if r["kind"] == suffix_dedup.RUN] == [(3, 0, 40), (7, 0, 40)]
     assert len(set(windows[0])) == windows.shape[1] == n * 101 - 41 and (windows[2] < 0).sum() == 41
+
+
+def test_sets_of_a_small_family_are_sent_once(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "FAMILY", 4)
+    lists = {10: [1, 2, 3], 11: [1, 2], 12: [2, 3], 13: [3, 4], 20: [7, 8], 30: [21, 22, 23], 31: [23, 24, 25]}
+    members = spark.createDataFrame([(u, s) for u, own in lists.items() for s in own], "unit long, sid long")
+    got = {}
+    for r in near_copies.gathered(members).collect():
+        got.setdefault(r.unit, []).append(r.sid)
+    assert {u: sorted(s) for u, s in got.items()} == {1: [1, 2, 3, 4], 7: [7, 8], 30: [21, 22, 23], 31: [23, 24, 25]}
