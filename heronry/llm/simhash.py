@@ -26,8 +26,9 @@ from heronry.llm.runtime import free, hot, id_text, join_hot, materialize
 
 BITS = 64
 SEED = 42
-#: Distinct fingerprints to each prefix, on average.
-TO_A_PREFIX = 400
+#: Distinct fingerprints whose own prefix it is, on average, and the fewest bits of a prefix. The rows sent
+#: grow with the bits; the work for a prefix does not depend on them, it is parted as far as memory asks.
+TO_A_PREFIX, LEAST_BITS = 1 << 15, 7
 #: Variants a worker holds at once; a fuller prefix is worked through in longer prefixes.
 AT_ONCE = 1 << 21
 
@@ -138,7 +139,7 @@ def forest(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(distinct: DataFrame, count: int, radius: int) -> DataFrame:
     """Links (high, low) that connect all of ``distinct`` (column fp) within ``radius`` bits."""
     flips = (radius + 1) // 2
-    bits = max(2, min(24, math.ceil(math.log2(max(2, count) / TO_A_PREFIX))))
+    bits = max(LEAST_BITS, min(24, math.ceil(math.log2(max(2, count) / TO_A_PREFIX))))
     prefix = F.shiftrightunsigned("fp", BITS - bits).cast("int")
     ways = F.array(*[F.lit(int(m)) for m in masks(bits, flips)])
     sent = distinct.select("fp", F.explode(F.transform(ways, lambda m: m.bitwiseXOR(prefix))).alias("prefix"))

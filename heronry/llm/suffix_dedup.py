@@ -421,13 +421,21 @@ def spanned(rows: DataFrame, found: DataFrame) -> DataFrame:
     return may.join(found, on, "left").unionByName(clear.withColumn("__spans", F.lit(None).cast(found.schema["__spans"].dataType)))
 
 
+def likely(places: DataFrame) -> DataFrame:
+    """All ``places`` whose gram is seen again, and a few others; only grams are shuffled, and ``places`` are freed."""
+    again = materialize(places.groupBy("gram").agg(F.count("*").alias("seen")).where("seen > 1").select("gram"), "sa-grams")
+    found = materialize(sift(places, again, ["gram"])[0], "sa-places")
+    free(places, again)
+    return found
+
+
 def repeats(docs: DataFrame, lengths: list[int], gram: int = GRAM, shard: int = SHARD, most: int = DIVIDED, spell: Spell = utf8) -> DataFrame:
     """doc_key, text_hash and ``spans`` (length; begin, end in bytes, in any order) of all texts with repeated strings.
 
     With another ``spell`` strings and places are of the bytes that it gives; equal texts must give equal bytes.
     """
     window, longest = min(lengths), max(lengths)
-    places = materialize(anchors(docs, window, longest, gram, spell), "sa-anchors")
+    places = likely(materialize(anchors(docs, window, longest, gram, spell), "sa-anchors"))
     # of repeated contexts any one place is read: the others hold the same bytes
     one = [F.first(c).alias(c) for c in ("doc_key", "text_hash", "lo", "n")]
     kinds = materialize(places.groupBy("gram", "context").agg(F.count("*").alias("weight"), *one), "sa-contexts")
